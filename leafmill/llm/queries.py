@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import language, leakage, mojibake, residue, unify
+from leafmill.llm import language, leakage, mojibake, packing, residue, unify
 from leafmill.session import table
 
 
@@ -40,6 +40,15 @@ def p5_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(titles, "title", table(spark, sf_dir, "language_samples"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each limit are filled."""
+    return packing.fill(p6_packed(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -67,6 +76,8 @@ QUERIES = {
     "p3_rules": p3_rules,
     "p5_found": p5_found,
     "p5_titles": p5_titles,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_coverage": p7_coverage,
     "p8_found": p8_found,
