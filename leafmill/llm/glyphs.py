@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import numpy as np
@@ -65,11 +66,18 @@ def one_form() -> dict[int, str | None]:
     return table
 
 
+@functools.cache
+def _odd() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(one_form())) + "]")
+
+
 def unify(text: str) -> str:
     """The consistent form of a text: compatibility widths, spaces, invisible and look-alike characters, composition."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(one_form()))
+    if _odd().search(text):
+        text = text.translate(one_form())
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 @functools.cache
