@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import language, leakage, mojibake, packing, residue, unify
+from leafmill.llm import language, leakage, mojibake, ocr, packing, residue, unify
 from leafmill.session import table
 
 
@@ -30,6 +30,15 @@ def p3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.with_form(rules, "old", "old_form").select("rule_id", "rule_set", "old_form").distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.found_noise(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "pdf_pages"))
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of scanned pages as continuous paragraphs."""
+    return ocr.restored(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "pdf_pages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.found_garbled(table(spark, sf_dir, "pdf_documents"), table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "language_samples"))
 
@@ -74,6 +83,8 @@ QUERIES = {
     "p1_segments": p1_segments,
     "p3_found": p3_found,
     "p3_rules": p3_rules,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_titles": p5_titles,
     "p6_packed": p6_packed,
