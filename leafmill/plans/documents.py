@@ -12,9 +12,14 @@ from leafmill.session import table
 RULES = [("file", "record"), ("the record", "the item"), ("page", "sheet"), ("der ", "DER "), ("의 ", "의　"), ("e", "E")]
 TEMPLATE = "Doc {{id}} in {{lang}}: {{count}} characters, {{id}} again, {{open"
 
-_ENDS = f"regexp_replace(regexp_replace({{0}}, '^{SPACE}+', ''), '{SPACE}+$', '')"
+
+
+def _ends(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '^{SPACE}+', ''), '{SPACE}+$', '')"
+
+
 _LINES = "SELECT doc_id, lang, source, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL"
-_CONTENT = f"SELECT doc_id, lang, source, pos, {_ENDS.format('line')} AS content FROM ({_LINES})"
+_CONTENT = f"SELECT doc_id, lang, source, pos, {_ends('line')} AS content FROM ({_LINES})"
 _KIND = f"""CASE WHEN starts_with(content, '{structure.TABLE_MARK}') THEN 'table' WHEN strlen(content) < 100 AND NOT regexp_matches(content, '{SMALL}') THEN 'heading'
     WHEN substring(content, 1, 2) IN ('• ', '- ', '* ') THEN 'list_item' ELSE 'paragraph' END"""
 _ELEMENTS = f"SELECT doc_id, lang, source, pos, content, {_KIND} AS element_type FROM ({_CONTENT}) WHERE content <> ''"
@@ -262,7 +267,7 @@ def _escaped(text: str, last: str) -> str:
     return f"""replace(replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '{last}')"""
 
 
-_ROWLIKE = f"""SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '{SPACE}+'), x -> x <> '') AS cells, length(line) - length(regexp_replace(line, '{SPACE}', '', 'g')) AS spaces FROM ({_LINES})"""
+_ROWLIKE = f"""SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '{SPACE}+'), lambda x: x <> '') AS cells, length(line) - length(regexp_replace(line, '{SPACE}', '', 'g')) AS spaces FROM ({_LINES})"""
 _ISLANDS = f"""SELECT doc_id, pos, cells, island FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS n FROM (SELECT doc_id, pos, cells, len(cells) >= 3 AND spaces >= 4 AS rowlike,
     sum(CASE WHEN len(cells) >= 3 AND spaces >= 4 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM ({_ROWLIKE})) WHERE rowlike) WHERE n >= 2"""
 _MARKDOWN = """CASE element_type WHEN 'heading' THEN '## ' || content || chr(10) || chr(10) WHEN 'list_item' THEN substring(content, 1, 1) || ' ' || regexp_replace(content, '^[•*-] ', '') || chr(10)
@@ -279,16 +284,16 @@ SQL = {
         SELECT *, CASE WHEN NOT regexp_matches(content, '[^\\p{{Lu}} ]') AND strlen(content) < 100 THEN 'heading2' WHEN substring(content, 1, 2) IN ('• ', '- ') THEN 'list_item'
         WHEN strlen(content) < 50 THEN 'heading3' ELSE 'paragraph' END AS block_type FROM ({_CONTENT}) WHERE content <> '')""",
     "legacy_paragraphs": f"""SELECT doc_id, pos, CASE WHEN strlen(content) < 100 AND regexp_matches(content, '\\p{{Lu}}') AND NOT ends_with(content, '.') THEN 'heading' ELSE 'paragraph' END AS element_type,
-        md5(content) AS digest FROM (SELECT doc_id, pos, {_ENDS.format("replace(raw, chr(10), ' ')")} AS content FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS pos,
+        md5(content) AS digest FROM (SELECT doc_id, pos, {_ends("replace(raw, chr(10), ' ')")} AS content FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS pos,
         unnest(string_split(text, chr(10) || chr(10))) AS raw FROM documents)) WHERE content <> ''""",
     "detect_tables": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS table_index, start, rows, cols, 0.8::DOUBLE AS confidence, 400.0::DOUBLE - 14.0::DOUBLE * start AS y,
         14.0::DOUBLE * rows AS height FROM (SELECT doc_id, min(pos) AS start, count(*) AS rows, max(len(cells)) AS cols FROM ({_ISLANDS}) GROUP BY doc_id, island)""",
     "table_cells": f"SELECT doc_id, pos, unnest(range(len(cells))) AS col, unnest(cells) AS cell FROM ({_ISLANDS})",
-    "page_split_ff": """SELECT doc_id, unnest(range(1, len(pages) + 1)) AS page, unnest(list_transform(pages, x -> length(x))) AS characters
+    "page_split_ff": """SELECT doc_id, unnest(range(1, len(pages) + 1)) AS page, unnest(list_transform(pages, lambda x: length(x))) AS characters
         FROM (SELECT doc_id, string_split(replace(text, chr(10) || chr(10), chr(12)), chr(12)) AS pages FROM documents WHERE text IS NOT NULL)""",
     "page_split_even": """SELECT doc_id, page, md5(substring(text, (page - 1) * k + 1, CASE WHEN page = n THEN length(text) ELSE k END)) AS digest FROM (SELECT doc_id, text, n, length(text) // n AS k,
         unnest(range(1, n + 1)) AS page FROM (SELECT doc_id, text, least(5, length(text)) AS n FROM documents WHERE length(text) > 0))""",
-    "extraction_stats": f"""SELECT count(*) AS documents, sum(len(string_split(text, chr(12))))::BIGINT AS pages, sum(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^{SPACE[1:-1]}]'))))::BIGINT AS blocks,
+    "extraction_stats": f"""SELECT count(*) AS documents, sum(len(string_split(text, chr(12))))::BIGINT AS pages, sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE[1:-1]}]'))))::BIGINT AS blocks,
         sum(strlen(text))::BIGINT AS bytes, round(sum(strlen(text)) / 1048576.0::DOUBLE, 6) AS megabytes FROM documents WHERE text IS NOT NULL""",
     "replace_single": f"SELECT doc_id, md5({_folded(RULES[:1])}) AS digest FROM documents",
     "replace_rule_fold": f"SELECT doc_id, md5({_folded(RULES)}) AS digest FROM documents",
@@ -301,13 +306,13 @@ SQL = {
         WHERE w <> '' AND contains(title, old) GROUP BY rule_id""",
     "context_window": """SELECT doc_id, md5(CASE WHEN instr(text, '403') > 0 THEN substring(text, greatest(instr(text, '403') - 200, 1), instr(text, '403') + 203 - greatest(instr(text, '403') - 200, 1))
         ELSE substring(text, 1, 400) END) AS digest FROM documents""",
-    "placeholder_list": """SELECT doc_id, unnest(range(len(parts) - 1)) AS pos, unnest(list_transform(parts[2:], x -> md5(string_split(x, '}}')[1]))) AS digest
+    "placeholder_list": """SELECT doc_id, unnest(range(len(parts) - 1)) AS pos, unnest(list_transform(parts[2:], lambda x: md5(string_split(x, '}}')[1]))) AS digest
         FROM (SELECT doc_id, string_split(text, '{{') AS parts FROM documents WHERE text IS NOT NULL)""",
     "template_render": f"""SELECT doc_id, replace(replace(replace('{TEMPLATE}', '{{{{count}}}}', coalesce(n_chars::VARCHAR, '')), '{{{{id}}}}', doc_id::VARCHAR), '{{{{lang}}}}', coalesce(lang, '')) AS rendered FROM documents""",
     "html_escape": f"SELECT doc_id, md5({_escaped('text', '&#39;')}) AS digest FROM documents",
     "xml_escape": f"SELECT doc_id, md5({_escaped('text', '&apos;')}) AS digest FROM documents",
     "xml_text": r"SELECT DISTINCT pptx_id, title, title AS read FROM pptx_files WHERE title IS NOT NULL AND NOT regexp_matches(title, '[\x00-\x08\x0b\x0c\x0e-\x1f]')",
-    "format_text": """SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split(text, chr(10) || chr(10)), x -> trim(x) <> ''), x -> x || chr(10)), '')) AS digest FROM documents WHERE text IS NOT NULL""",
+    "format_text": """SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x) <> ''), lambda x: x || chr(10)), '')) AS digest FROM documents WHERE text IS NOT NULL""",
     "format_markdown": f"""SELECT doc_id, md5('# ' || file_name || chr(10) || chr(10) || '**Author:** ' || source || chr(10) || chr(10) || body) AS digest FROM (SELECT doc_id, file_name, source FROM documents) JOIN
         (SELECT doc_id, string_agg({_MARKDOWN}, '' ORDER BY pos) AS body FROM ({_ELEMENTS}) GROUP BY doc_id) USING (doc_id)""",
     "format_html": f"""SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><meta charset="utf-8"><title>' || {_escaped('file_name', '&#39;')} || '</title></head>' || chr(10) || '<body>' || chr(10) ||

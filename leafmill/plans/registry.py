@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import general
+from leafmill.plans import documents, general, pivots, services, sheets
 
-CORE = (general,)
+CORE = (general, documents, sheets, pivots, services)
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
