@@ -19,7 +19,7 @@ from leafmill.operators.textops import Rule, check_rules
 
 def read_texts(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, title, text): whole UTF-8 files; the title is the stem."""
-    got = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower()).text(folder)
+    got = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive)
     path = F.col("_metadata.file_path")
     return got.select(path.alias("path"), F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1).alias("title"), F.col("value").alias("text"))
 
