@@ -83,7 +83,7 @@ PLACEHOLDERS = {
     "<%": r"<%=?\s*[^%\n]{1,60}?%>",
     "${": r"\$\{\s*" + _NAME + r"\s*\}",
     "<<": r"<<\s*[\w ]{1,40}?\s*>>",
-    "«": r"«\s?[A-Za-z][A-Za-z0-9_]*\s?»",
+    "«": r"«(?:[A-Z][A-Za-z0-9_]*|[a-z][A-Za-z0-9]*_[A-Za-z0-9_]*)»",
     "@@": r"@@" + _NAME + r"@@",
     "__": r"(?<![\w])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?![\w])",
     "%": r"%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%",
