@@ -47,7 +47,7 @@ def with_form(df: DataFrame, text: str = "text", to: str = "form") -> DataFrame:
     """`df` with a column `to`: the one form of `text`.  All other columns pass through as Arrow columns."""
     if to in df.columns:
         raise ValueError(f"column {to} exists already")
-    schema = df.select("*", F.lit("").cast("string").alias(to)).schema
+    schema = df.select("*", F.lit(None).cast("string").alias(to)).schema
     # Plain texts of ASCII characters are in their form already; the engine skips their mapping.
     sql = f"SELECT CASE WHEN strlen(t) = length(t) THEN t ELSE {form_sql('t')} END AS f FROM batch"
 
