@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.refs import Range, parse
+from leafmill.session import materialise
 
 # Numbers as a cell has them typed in: no blanks, no type suffixes, no underscores.
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
@@ -19,16 +20,20 @@ def numbered(df: DataFrame, keys: list[str], to: str = "row", slices: int = 200)
     """`df` with the ordinal of each row in the order of `keys`, from 0.
 
     Rows are sorted by range partitioning and numbered within their slice; the sizes of the slices, one row each, give
-    the offsets.  So no task holds more than its slice, where a window without partitions would hold everything.
+    the offsets.  So no task holds more than its slice, where a window without partitions would hold everything.  The
+    sorted slices are written once, so that the sizes and the rows speak of the same slices even if a task is run again.
     Ties are ordered by all columns; equal rows are interchangeable.
     """
     order = [F.col(k) for k in keys] + [F.col(c) for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType.jsonValue(), dict)]
     n = min(slices, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(n, *[F.col(k) for k in keys]).sortWithinPartitions(*order).withColumn("_slice", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = df.repartitionByRange(n, *[F.col(k) for k in keys]).sortWithinPartitions(*order)
+    # monotonically_increasing_id holds the slice in its upper bits and the place within it in the lower 33.
+    placed = materialise(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_slice", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # There are `n` offsets at most.
     return placed.join(F.broadcast(offsets), "_slice").withColumn(to, F.col("_off") + F.col("_at")).drop("_slice", "_id", "_at", "_off")
 
 

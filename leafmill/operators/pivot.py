@@ -177,9 +177,9 @@ def top(df: DataFrame, keys: list[str], value: str, n: int, ties: list[str]) ->
 
 
 def above_average(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Groups whose sum is above the average of the sums; the average is one row, joined back."""
+    """Groups whose sum is above the average of the sums, which is a scalar subquery."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias("total"))
-    return sums.crossJoin(F.broadcast(sums.agg(F.avg("total").alias("_mean")))).where("total > _mean").drop("_mean")
+    return sums.where(F.col("total") > sums.agg(F.avg("total")).scalar())
 
 
 def sort_key(item: Column, order: str | list) -> Column:

@@ -100,16 +100,6 @@ def rule_validation(spark: SparkSession, d: str) -> DataFrame:
     return rules.groupBy("rule_set").agg(F.count(F.lit(1)).alias("rules"), F.count_if(textops.valid_rule(F.col("old"), F.col("new"))).alias("valid"))
 
 
-def rules_applied(spark: SparkSession, d: str) -> DataFrame:
-    """How often each shared rule is found in the titles, as a join of rules and titles by the rule's first word."""
-    rules = table(spark, d, "replace_rules").select("rule_id", "old").where("old <> ''").distinct()
-    titles = table(spark, d, "pdf_documents").select("pdf_id", "title").where("title <> ''").distinct()
-    word = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1)
-    a = rules.withColumn("w", word(F.col("old"))).where("w <> ''")
-    b = titles.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"([\p{L}\p{N}]+)"), 1))))
-    return a.join(b, "w").where(F.contains("title", "old")).groupBy("rule_id").agg(F.countDistinct("pdf_id").alias("titles"))
-
-
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(textops.context(F.col("text"), "403")).alias("digest"))
 
@@ -237,7 +227,7 @@ def smart_replace(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     elements_by_type, line_elements, pdf_blocks, legacy_paragraphs, detect_tables, table_cells, page_split_ff, page_split_even, extraction_stats, replace_single, replace_rule_fold,
-    replace_counts_by_rule, replace_dry_run, rule_validation, rules_applied, context_window, placeholder_list, template_render, html_escape, xml_escape, xml_text, format_text, format_markdown,
+    replace_counts_by_rule, replace_dry_run, rule_validation, context_window, placeholder_list, template_render, html_escape, xml_escape, xml_text, format_text, format_markdown,
     format_html, format_json, line_difference, file_dispatch, glob_exclude, format_size, permission_flags, permission_bits, pdf_date, page_tables, ocr_estimates, md_elements, md_sections, smart_replace,
 )}
 
@@ -301,9 +291,6 @@ SQL = {
     "replace_dry_run": f"""SELECT source, count(*) AS files, sum(hits_0 + hits_1 + hits_2)::BIGINT AS replacements, count(*) FILTER (hits_0 + hits_1 + hits_2 > 0) AS changed, count(*) FILTER (t0 IS NULL) AS errors
         FROM ({_steps(RULES[:3], 'source')}) GROUP BY source""",
     "rule_validation": "SELECT rule_set, count(*) AS rules, count(*) FILTER (coalesce(old, '') <> '' AND old <> coalesce(new, '')) AS valid FROM replace_rules GROUP BY rule_set",
-    "rules_applied": r"""SELECT rule_id, count(DISTINCT pdf_id) AS titles FROM (SELECT DISTINCT rule_id, old, regexp_extract(old, '([\p{L}\p{N}]+)', 1) AS w FROM replace_rules WHERE old <> '') a JOIN
-        (SELECT pdf_id, title, unnest(list_distinct(regexp_extract_all(title, '([\p{L}\p{N}]+)', 1))) AS w FROM (SELECT DISTINCT pdf_id, title FROM pdf_documents WHERE title <> '')) b USING (w)
-        WHERE w <> '' AND contains(title, old) GROUP BY rule_id""",
     "context_window": """SELECT doc_id, md5(CASE WHEN instr(text, '403') > 0 THEN substring(text, greatest(instr(text, '403') - 200, 1), instr(text, '403') + 203 - greatest(instr(text, '403') - 200, 1))
         ELSE substring(text, 1, 400) END) AS digest FROM documents""",
     "placeholder_list": """SELECT doc_id, unnest(range(len(parts) - 1)) AS pos, unnest(list_transform(parts[2:], lambda x: md5(string_split(x, '}}')[1]))) AS digest
