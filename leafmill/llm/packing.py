@@ -34,6 +34,7 @@ VOCABULARY = os.environ.get("LEAFMILL_VOCABULARY", "/opt/tokenizers/byte_bpe_mul
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OPEN = 1024
 BUCKET_TOKENS = 200_000_000
+MOST_LIMITS = 1000
 #: Longest stretch given to the tokenizer at once; longer texts are counted in stretches cut at a word.
 STRETCH = 400_000
 
@@ -127,8 +128,13 @@ def packed(documents: DataFrame, limits: DataFrame, path: str = VOCABULARY, most
     # Rows of one id, if any, are told apart before their pieces are; ids that occur once need no order.
     again = sizes.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
     numbered = again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-    usable = limits.where("limit_name is not null and capacity_tokens > 0").select("limit_name", "capacity_tokens").distinct()
-    each = numbered.crossJoin(F.broadcast(usable.limit(1000)))  # a dimension of container sizes, a few rows
+    # The kinds of containers are a dimension of a few rows; more than MOST_LIMITS are refused rather than cut off.
+    kinds = limits.where("limit_name is not null and capacity_tokens > 0").select("limit_name", "capacity_tokens").distinct().limit(MOST_LIMITS + 1).collect()
+    if len(kinds) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} kinds of containers")
+    table = [F.struct(F.lit(r[0]).alias("limit_name"), F.lit(r[1]).cast("long").alias("capacity_tokens")) for r in kinds]
+    empty = F.array().cast("array<struct<limit_name:string,capacity_tokens:bigint>>")
+    each = numbered.withColumn("kind", F.explode(F.array(*table) if table else empty)).select("doc_id", "n_tokens", "copy", "kind.*")
     full = each.withColumn("whole", F.floor(F.col("n_tokens") / F.col("capacity_tokens"))).withColumn("rest", F.col("n_tokens") % F.col("capacity_tokens"))
     blocks = (
         full.where("whole > 0")
