@@ -94,4 +94,11 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_kinds": p8_kinds,
 }
-SQL: dict[str, str] = {}
+_VALUES = """SELECT DISTINCT 'old' AS field_name, rule_set AS scope, rule_id AS id, old AS t FROM replace_rules UNION SELECT 'new', rule_set, rule_id, new FROM replace_rules
+    UNION SELECT 'raw_text', '', page_id, raw_text FROM pdf_pages"""
+_FORMS = f"SELECT field_name, scope, id, t, {unify.form_sql('t')} AS f FROM ({_VALUES}) WHERE t IS NOT NULL"
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH v AS (SELECT * FROM ({_FORMS}) WHERE trim(f, chr(32) || chr(9) || chr(10) || chr(13)) <> '')
+        SELECT DISTINCT a.field_name, a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.field_name = b.field_name AND a.scope = b.scope AND a.f = b.f WHERE a.id < b.id AND a.t <> b.t""",
+    "p3_rules": f"SELECT DISTINCT rule_id, rule_set, {unify.form_sql('old')} AS old_form FROM replace_rules",
+}

@@ -38,6 +38,13 @@ def test_found_columns(name, columns, spark, sf):
     assert rows and len(rows) == len(set(rows))
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_equals_sql(name, spark, con, sf):
+    from oracle import compare
+
+    assert compare(spark, con, queries.QUERIES[name], queries.SQL[name], sf) == ""
+
+
 # --- text batches
 
 
