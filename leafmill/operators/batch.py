@@ -183,3 +183,35 @@ def backup_path(path: Column, epoch: Column) -> Column:
     return F.concat(
         F.regexp_replace(path, r"\.[^./\\]+$", ""), F.lit(".backup."), epoch.cast("string"), F.lit("."), F.regexp_extract(path, r"\.([^./\\]+)$", 1)
     )
+
+
+#: Models that requests are expected to name (fixed values); others only give a warning.
+MODELS = ("gpt-3.5-turbo", "gpt-4", "gpt-4-turbo", "gpt-4o", "claude-3-haiku", "claude-3-sonnet", "claude-3-opus")
+
+
+def model_known(model: Column) -> Column:
+    return model.isin(*MODELS)
+
+
+def macro_outcome(name: Column, action: Column) -> Column:
+    """The action, or an error that fails the query where a file is blocked."""
+    return F.when(action == "Block", F.raise_error(F.concat(F.lit("blocked because of its macros: "), name))).otherwise(action)
+
+
+def macro_warnings(macros: Column, level: Column, signed: Column) -> Column:
+    """What to tell about a file, line by line; empty without macros."""
+    lines = F.array_compact(
+        F.array(
+            F.when(macros, F.lit("The file holds macros.")), F.when(macros & level.isin("High", "Critical"), F.concat(F.lit("Risk: "), level)), F.when(macros & ~signed, F.lit("The macros are not signed.")),
+            F.when(macros & (level == "Critical"), F.lit("Do not open this file.")),
+        )
+    )
+    return F.array_join(lines, "\n")
+
+
+def advanced_text(blocks: Column, tables: Column) -> Column:
+    """Text of a page from its blocks, one a line, then each table between marks with its cells parted by tabs."""
+    table = lambda t, k: F.concat(
+        F.concat(F.lit("--- Table "), (k + 1).cast("string"), F.lit(" ---\n")), F.array_join(F.transform(t, lambda r: F.array_join(r, "\t")), "\n"), F.lit("\n--- End table ---")
+    )
+    return F.array_join(F.concat(blocks, F.transform(tables, table)), "\n")

@@ -45,6 +45,35 @@ def load_settings(path: str | None) -> dict:
     return {**DEFAULTS, **known, "custom": {k: v for k, v in (got or {}).items() if k not in DEFAULTS}}
 
 
+def get_setting(settings: dict, key: str):
+    """A setting by its dotted key; unknown ones are looked for under ``custom``."""
+    node = settings
+    for part in key.split("."):
+        if not isinstance(node, dict) or part not in node:
+            return settings.get("custom", {}).get(key)
+        node = node[part]
+    return node
+
+
+def set_setting(settings: dict, key: str, value) -> dict:
+    """New settings with one changed; keys without a default go under ``custom``."""
+    if key in DEFAULTS and key != "custom":
+        return {**settings, key: type(DEFAULTS[key])(value) if not isinstance(DEFAULTS[key], bool) else str(value).lower() == "true"}
+    return {**settings, "custom": {**settings.get("custom", {}), key: value}}
+
+
+def unset_setting(settings: dict, key: str) -> dict:
+    """New settings with one back at its default, or gone from ``custom``."""
+    if key in DEFAULTS and key != "custom":
+        return {**settings, key: DEFAULTS[key]}
+    return {**settings, "custom": {k: v for k, v in settings.get("custom", {}).items() if k != key}}
+
+
+def save_settings(settings: dict, path: str) -> None:
+    text = json.dumps(settings, indent=2, ensure_ascii=False) if path.endswith(".json") else yaml.safe_dump(settings, allow_unicode=True)
+    Path(path).write_text(text, encoding="utf-8")
+
+
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|Td|TD|BT")
 _LITERAL = re.compile(rb"\(((?:\\.|[^\\()])*)\)")

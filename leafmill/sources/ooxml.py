@@ -112,10 +112,14 @@ def sheets(archive: dict[str, bytes]) -> list[tuple[str, list[tuple[int, int, st
     return out
 
 
-def replaced(archive: dict[str, bytes], rules: list[tuple[str, str]], tags: tuple[str, ...] = ("t",)) -> tuple[dict[str, bytes], int]:
-    """(changed parts, hits): the rules in order within each text node of the body parts."""
+def replaced(archive: dict[str, bytes], rules: list[tuple[str, str]], tags: tuple[str, ...] = ("t",), slide: int | None = None) -> tuple[dict[str, bytes], int]:
+    """(changed parts, hits): the rules in order within each text node of the body parts, or of one slide only, which
+    counts from 0 in the order of names."""
     changed, hits = {}, 0
+    only = slides(archive)[slide][0] if slide is not None else None
     for name, xml in archive.items():
+        if only is not None and name != only:
+            continue
         if not re.match(r"(word/document|ppt/slides/slide[^/]*)\.?.*xml$", name):
             continue
         root, before = ET.fromstring(xml), hits
