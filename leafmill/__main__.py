@@ -37,7 +37,7 @@ def extract(a: argparse.Namespace) -> dict:
     whole = pages.groupBy("path").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("text"), F.max("title").alias("title"), F.max("author").alias("author"), F.max("error").alias("error")
     )
-    parts = formats.with_elements(whole, ["path", "title", "author", "error"]).unionByName(whole.where("coalesce(text, '') = ''").select("path", "title", "author", "error", F.lit(None).cast("array<struct<pos:int,element_type:string,content:string,level:int,marker:string>>").alias("elements")))
+    parts = formats.with_elements(whole, ["path", "title", "author", "error"])
     made = {
         "text": F.array_join(F.transform("elements", lambda e: e["content"]), "\n"), "markdown": formats.as_markdown(F.col("title"), F.col("author"), F.col("elements")),
         "html": formats.as_html(F.col("title"), F.col("author"), F.col("elements")), "json": formats.as_json(F.struct("path", "title", "author", "error", "elements")),

@@ -10,15 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.structure import elements
+from leafmill.operators.structure import element_of, trimmed
 from leafmill.operators.textops import escape_html
 
 
 def with_elements(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, elements): the elements of each document in order.  An array holds one document."""
-    got = elements(df.select(*keys, text), text)
-    packed = F.array_sort(F.collect_list(F.struct("pos", "element_type", "content", "level", "marker")))
-    return got.groupBy(*keys).agg(packed.alias("elements"))
+    """(keys, elements): the elements of each document in order, made within its row; nothing is exploded or shuffled.
+    A document without elements has an empty array, a null text a null one."""
+    got = df.select(*keys, F.split(F.col(text), "\n", -1).alias("_l"))
+    solid = F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("pos"), trimmed(x).alias("content"))), lambda e: e["content"] != "")
+
+    def one(e: Column) -> Column:
+        kind, level, marker = element_of(e["content"])
+        return F.struct(e["pos"].alias("pos"), kind.alias("element_type"), e["content"].alias("content"), level.alias("level"), marker.alias("marker"))
+
+    return got.withColumn("_s", solid).select(*keys, F.transform("_s", one).alias("elements"))
 
 
 def as_text(pages: Column) -> Column:

@@ -80,17 +80,31 @@ def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     return got.withColumn("element_type", F.when(heading, "heading").otherwise("paragraph")).withColumn("level", F.when(heading, 2))
 
 
+def _row_like(line: Column, tokens: int, gaps: int) -> Column:
+    spaces = F.length(line) - F.length(F.regexp_replace(line, SPACE, ""))
+    return (spaces >= gaps) & (F.size(_cells(line)) >= tokens)
+
+
+def _cells(line: Column) -> Column:
+    return F.filter(F.split(line, f"{SPACE}+", -1), lambda w: w != "")
+
+
 def table_rows(df: DataFrame, keys: list[str], text: str = "text", tokens: int = 3, gaps: int = 4, least: int = 2) -> DataFrame:
     """(keys, island, pos, cells): rows of detected tables.  A line is row-like with `tokens` words and `gaps` white-space
-    characters; a run of `least` row-like lines is a table.  Runs are found per document, which holds one text."""
-    got = lines(df.select(*keys, text), text)
-    words = F.filter(F.split(F.col("line"), f"{SPACE}+", -1), lambda w: w != "")
-    spaces = F.length("line") - F.length(F.regexp_replace("line", SPACE, ""))
-    got = got.withColumn("cells", words).withColumn("rowlike", (F.size("cells") >= tokens) & (spaces >= gaps))
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    got = got.withColumn("island", F.sum(F.when(F.col("rowlike"), 0).otherwise(1)).over(order)).where("rowlike")
+    characters; a run of `least` row-like lines is a table.
+
+    Lines without a row-like neighbour are dropped within the document's own row, so only the rows of tables are
+    exploded and shuffled; runs are told apart by place minus ordinal.
+    """
+    got = df.select(*keys, F.split(F.col(text), "\n", -1).alias("_l")).withColumn("_f", F.transform("_l", lambda x: _row_like(x, tokens, gaps)))
+    near = lambda i, step: F.coalesce(F.get("_f", i + step), F.lit(False))
+    kept = F.filter(
+        F.transform("_l", lambda x, i: F.when(F.get("_f", i) & ((least < 2) | near(i, -1) | near(i, 1)), F.struct(i.alias("pos"), x.alias("line")))), lambda x: x.isNotNull()
+    )
+    rows = got.select(*keys, F.explode(kept).alias("_r")).select(*keys, F.col("_r.pos").alias("pos"), _cells(F.col("_r.line")).alias("cells"))
+    rows = rows.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
     run = Window.partitionBy(*keys, "island")
-    return got.withColumn("_n", F.count(F.lit(1)).over(run)).where(F.col("_n") >= least).select(*keys, "island", "pos", "cells")
+    return rows.withColumn("_n", F.count(F.lit(1)).over(run)).where(F.col("_n") >= least).select(*keys, "island", "pos", "cells")
 
 
 def tables(df: DataFrame, keys: list[str], text: str = "text", width: float = 612.0, **rule: int) -> DataFrame:

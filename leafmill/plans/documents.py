@@ -137,12 +137,12 @@ def format_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_markdown(spark: SparkSession, d: str) -> DataFrame:
-    got = formats.with_elements(_docs(spark, d), ["doc_id", "file_name", "source"])
+    got = formats.with_elements(_docs(spark, d), ["doc_id", "file_name", "source"]).where(F.size("elements") > 0)
     return got.select("doc_id", F.md5(formats.as_markdown(F.col("file_name"), F.col("source"), F.col("elements"))).alias("digest"))
 
 
 def format_html(spark: SparkSession, d: str) -> DataFrame:
-    got = formats.with_elements(_docs(spark, d), ["doc_id", "file_name", "source"])
+    got = formats.with_elements(_docs(spark, d), ["doc_id", "file_name", "source"]).where(F.size("elements") > 0)
     return got.select("doc_id", F.md5(formats.as_html(F.col("file_name"), F.col("source"), F.col("elements"))).alias("digest"))
 
 
