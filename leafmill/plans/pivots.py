@@ -92,7 +92,8 @@ def pivot_filter_above_avg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_subtotals(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    # Which side is broadcast is left to Spark, which knows the sizes of the files.
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     spec = p.Pivot("x", row_fields=["r_name", "n_name"], data_fields=[p.DataField("c_acctbal", "Sum", "v"), p.DataField("c_custkey", "Count", "n")])
     return p.with_subtotals(c, spec).select("r_name", "n_name", "total_of", F.round("v", 2).alias("v"), "n")
 

@@ -42,6 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what :func:`materialise` has written so far; to be called when the results have been consumed.  Returns the
+    number of folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table used more than once to the shared folder and read it back.
 
@@ -49,5 +63,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

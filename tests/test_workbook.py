@@ -115,3 +115,13 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["template", str(md), str(tmp_path / "y.md"), "--set", "k=v"]) == 0
     assert cli.main(["create", str(tmp_path / "y.md"), str(tmp_path / "y.pptx")]) == 0
     assert [t for _, t in ooxml.slides(ooxml.parts((tmp_path / "y.pptx").read_bytes()))] == ["A text v", "B i"]
+
+
+def test_written_intermediates_can_be_released(spark):
+    from leafmill import session
+
+    session.release(spark)
+    df = session.materialise(spark.range(5), "some")
+    assert df.count() == 5 and session.release(spark) == 1 and session.release(spark) == 0
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|not found|PATH"):
+        spark.read.schema("id long").parquet(df.inputFiles()[0]).count()
