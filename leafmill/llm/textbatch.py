@@ -50,6 +50,14 @@ with np.errstate(over="ignore"):
     _POWERS = np.cumprod(_POWERS)
 
 
+def within(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each of `n` places how far it lies behind the last of `starts`; 0 before the first."""
+    out = np.zeros(n, np.int64)
+    first = starts[0]
+    out[first:] = np.arange(first, n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    return out
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text).
 
@@ -71,10 +79,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate(([False], letter[:-1]))
     starts = np.flatnonzero(letter & ~before)
     stops = np.flatnonzero(~letter & before)
-    where = np.arange(len(got)) - np.repeat(starts, np.diff(np.append(starts, len(got))))[: len(got)] if starts[0] == 0 else None
-    if where is None:
-        where = np.zeros(len(got), np.int64)
-        where[starts[0] :] = np.arange(starts[0], len(got)) - np.repeat(starts, np.diff(np.append(starts, len(got))))
+    where = within(starts, len(got))
     with np.errstate(over="ignore"):
         value = np.where(letter, mix(got) * _POWERS[where & 4095], np.uint64(0))
         hashes = mix(np.add.reduceat(value, starts) + (stops - starts).astype(np.uint64))
