@@ -7,14 +7,19 @@ meet an open breaker are refused and change nothing.  Events are taken in the or
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# The worker that prepares a stateful operator on the driver is not given the shipped package; it gets the code itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 
