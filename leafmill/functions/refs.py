@@ -1,6 +1,7 @@
 """Cell references in A1 notation, as column expressions and as plain values.
 
-Rows and columns count from 0.  A text that is no reference, and row 0, give null.
+Rows and columns count from 0.  A text that is no reference, and row 0, give null.  Whole columns (C:C, S!A:B) are read by
+:func:`parse` only; they end where the sheet ends, however many rows that are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REFERENCE = r"^(?:([A-Za-z0-9_]+)!)?([A-Z]{1,3})([0-9]{1,7})(?::([A-Z]{1,3})([0-9]{1,7}))?$"
+COLUMNS = r"^(?:([A-Za-z0-9_]+)!)?([A-Z]{1,3}):([A-Z]{1,3})$"
+# The last row of whole columns, beyond any sheet.
+OPEN = (1 << 62) - 1
 
 
 @dataclass(frozen=True)
@@ -22,8 +26,15 @@ class Range:
     end_col: int
     end_row: int
 
+    @property
+    def whole(self) -> bool:
+        return self.end_row == OPEN
+
     @property
     def cells(self) -> int:
+        """How many cells the rectangle has; that of whole columns is known only from their sheet."""
+        if self.whole:
+            raise ValueError("whole columns have no fixed size")
         return (self.end_row - self.row + 1) * (self.end_col - self.col + 1)
 
 
@@ -44,6 +55,9 @@ def index_to_letters(index: int) -> str:
 
 
 def parse(text: str) -> Range:
+    if m := re.match(COLUMNS, text):
+        c1, c2 = letters_to_index(m[2]), letters_to_index(m[3])
+        return Range(m[1], min(c1, c2), 0, max(c1, c2), OPEN)
     m = re.match(REFERENCE, text)
     if not m or int(m[3]) < 1 or (m[5] and int(m[5]) < 1):
         raise ValueError(f"no cell reference: {text!r}")
