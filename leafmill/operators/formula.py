@@ -3,7 +3,7 @@
 Supported: numbers, texts in quotes, TRUE and FALSE, cell references (with a sheet), + - * / ^ & and comparisons, and
 SUM, AVERAGE, COUNT, MIN, MAX, PRODUCT, IF, AND, OR, NOT, ABS, ROUND, LEN, UPPER, LOWER, CONCAT over ranges and values.
 Missing and non-numeric cells count as 0.0 in arithmetic.  COUNT counts the rectangle and AVERAGE divides by it; with
-``excel_semantics`` both look at numbers only.  Division by zero and what cannot be parsed are errors, given as values.
+``excel_semantics`` both look at numbers only.  The rectangle of whole columns (F:F) ends at their last cell.  Division by zero and what cannot be parsed are errors, given as values.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from leafmill.functions.refs import Range, parse
 from leafmill.operators.cells import number
 
 _TOKEN = re.compile(
-    r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>\"(?:[^\"]|\"\")*\")|(?P<ref>(?:[A-Za-z0-9_]+!)?[A-Z]{1,3}\d+(?::[A-Z]{1,3}\d+)?)(?![A-Za-z0-9_(])"
+    r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>\"(?:[^\"]|\"\")*\")|(?P<ref>(?:[A-Za-z0-9_]+!)?(?:[A-Z]{1,3}\d+(?::[A-Z]{1,3}\d+)?|[A-Z]{1,3}:[A-Z]{1,3}))(?![A-Za-z0-9_(])"
     r"|(?P<name>[A-Za-z][A-Za-z0-9.]*)|(?P<op><=|>=|<>|[-+*/^&=<>(),;]))"
 )
 
@@ -138,6 +138,14 @@ def _inside(box: Range, default: str | None) -> Column:
     return got & (F.col("sheet") == sheet) if sheet else got
 
 
+def _size(box: Range, default: str | None) -> Column:
+    """How many cells the rectangle has; whole columns end at the last row that has a cell in them."""
+    if not box.whole:
+        return F.lit(float(box.cells))
+    rows = F.max(F.when(_inside(box, default), F.col("row"))) + 1
+    return F.coalesce(rows, F.lit(0)).cast("double") * F.lit(float(box.end_col - box.col + 1))
+
+
 def aggregate_over(name: str, box: Range, sheet: str | None = None, excel_semantics: bool = False) -> Column:
     """An aggregate over the cells table for a function of one range; conditional, so that many share one scan."""
     inside = _inside(box, sheet)
@@ -146,9 +154,9 @@ def aggregate_over(name: str, box: Range, sheet: str | None = None, excel_semant
     if name == "SUM":
         return total
     if name == "COUNT":
-        return F.count(value).cast("double") if excel_semantics else F.lit(float(box.cells))
+        return F.count(value).cast("double") if excel_semantics else _size(box, sheet)
     if name == "AVERAGE":
-        return F.try_divide(total, F.count(value)) if excel_semantics else total / F.lit(float(box.cells))
+        return F.try_divide(total, F.count(value)) if excel_semantics else F.try_divide(total, _size(box, sheet))
     if name == "PRODUCT":
         return F.product(F.coalesce(value, F.lit(1.0)))
     return F.min(value) if name == "MIN" else F.max(value)
@@ -171,6 +179,14 @@ def evaluate(cells: DataFrame, formulas: dict[str, str], sheet: str | None = Non
         boxes.append(_inside(box, sheet))
         return F.col(name)
 
+    def size(nodes: tuple) -> Column:
+        """The cells of several ranges and values together."""
+        n = F.lit(float(sum(1 if x.kind != "range" else 0 if x.value.whole else x.value.cells for x in nodes)))
+        for x in nodes:
+            if x.kind == "range" and x.value.whole:
+                n = n + pick(_size(x.value, sheet), x.value)
+        return n
+
     def cell(box: Range) -> Column:
         return F.coalesce(pick(F.max(F.when(_inside(box, sheet), number(F.col("value")))), box), F.lit(0.0))
 
@@ -206,14 +222,13 @@ def evaluate(cells: DataFrame, formulas: dict[str, str], sheet: str | None = Non
             if name in ("MIN", "MAX"):
                 return F.least(*parts) if name == "MIN" else F.greatest(*parts)
             if name == "COUNT":
-                return F.lit(float(sum(x.value.cells if x.kind == "range" else 1 for x in args)))
+                return size(args)
             if name == "AVERAGE":
                 sums = [pick(aggregate_over("SUM", x.value, sheet), x.value) if x.kind == "range" else build(x) for x in args]
-                n = float(sum(x.value.cells if x.kind == "range" else 1 for x in args))
                 whole = sums[0]
                 for s in sums[1:]:
                     whole = whole + s
-                return whole / F.lit(n)
+                return F.try_divide(whole, size(args))
             return total
         values = [build(x) for x in args]
         if name == "IF" and len(values) == 3:

@@ -18,6 +18,7 @@ FORMULAS = {
     "total": "=SUM(F1:F200)", "mean": "=AVERAGE(E1:E100)", "cells": "=COUNT(A1:C10)", "low": "=MIN(E1:E2000)", "high": "=MAX(F1:F2000)", "sum2": "=F1+F2*2-E1/4", "choice": '=IF(F1>F2,"first","second")',
     "nested": "=ROUND(SUM(E1:E10)/COUNT(E1:E10),3)+ABS(-2)", "missing": "=ZZ99+1", "zero": "=1/A900000", "text": "=B1+1",
 }
+WHOLE = {"total": "=SUM(F:F)", "mean": "=AVERAGE(E:E)", "cells": "=COUNT(A:C)", "low": "=MIN(E:E)", "high": "=MAX(F:F)", "nested": "=ROUND(SUM(E:E)/COUNT(E:E),3)+ABS(-2)"}
 ARITH = {"revenue": "=C1*(1-D1)", "charge": "=C1*(1-D1)*(1+E1)"}
 
 
@@ -127,6 +128,12 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
     return got.select(*[F.round(k, 4).alias(k) if k not in ("choice",) else F.col(k) for k in FORMULAS])
 
 
+def formulas_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The range formulas over all rows of the sheet; those of `formulas` have the fixed ends its SQL gives them."""
+    got = formula.evaluate(part_cells(spark, d), WHOLE, sheet="part")
+    return got.select(*[F.round(k, 4).alias(k) for k in WHOLE])
+
+
 def formula_arith(spark: SparkSession, d: str) -> DataFrame:
     """Row formulas as columns: price, discount and tax of each line are C, D and E."""
     l = table(spark, d, "lineitem")  # noqa: E741
@@ -178,7 +185,7 @@ def _drawn(kind: str):
 
 QUERIES = {f.__name__: f for f in (
     list_sheets, read_range, read_limits, search_cells, count_cells, sheet_text, chunk_dump, cell_types, shown_numbers, chunk_plan, chunk_progress, each_chunk, memory_plan, col_to_index, a1_parse,
-    range_expand, formulas, formula_arith, formula_refs, validate_cells, chart_series,
+    range_expand, formulas, formulas_whole, formula_arith, formula_refs, validate_cells, chart_series,
 )}
 QUERIES |= {f"chart_{k}": _drawn(kind) for k, kind in (("column", "Column"), ("stacked", "ColumnStacked"), ("percent", "BarPercentStacked"), ("pie", "Pie"), ("scatter", "ScatterSmooth"))}
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import refs
+from leafmill.operators import formula
 from leafmill.plans import sheets
 
 ROWS = 2500
@@ -30,3 +31,20 @@ def test_whole_columns():
 def test_checks_reach_the_last_row(spark, long_part):
     got = {(r["rule"], r["message"]): (r["n"], r["first_row"]) for r in sheets.validate_cells(spark, long_part).collect()}
     assert got == {("List", "brand"): (1, ROWS - 1), ("WholeNumber", "price"): (ROWS, 0), ("Custom", "even"): (1, ROWS - 1)}
+
+
+def _formulas_by_sql(con, part: str) -> tuple:
+    return con.execute(f"SELECT round(sum(p_retailprice), 4), round(avg(p_size), 4), count(*) * 3.0, min(p_size), round(max(p_retailprice), 4), round(round(avg(p_size), 3) + 2, 4) FROM {part}").fetchone()
+
+
+def test_formulas_reach_the_last_row(spark, con, sf, long_part):
+    for d, part in ((sf, "part"), (long_part, f"'{long_part}/part.parquet/*.parquet'")):
+        got = sheets.QUERIES["formulas_whole"](spark, d).first()
+        assert tuple(got[k] for k in ("total", "mean", "cells", "low", "high", "nested")) == pytest.approx(tuple(map(float, _formulas_by_sql(con, part))), rel=1e-9)
+
+
+def test_whole_columns_in_formulas(spark):
+    one = spark.createDataFrame([("w", "s", 0, 0, "1"), ("w", "s", 4, 0, "9"), ("w", "s", 1, 1, "x"), ("w", "t", 9, 0, "7")], "workbook string, sheet string, row long, col int, value string")
+    asked = {"sum": "=SUM(A:A)", "count": "=COUNT(A:B)", "mean": "=AVERAGE(A:A)", "two": "=COUNT(A:A,B1:B2,3)", "both": "=AVERAGE(A:A,5)", "other": "=SUM(t!A:A)", "none": "=AVERAGE(D:D)"}
+    got = formula.evaluate(one, asked, sheet="s").first()
+    assert [got[k] for k in asked] == [10.0, 10.0, 2.0, 8.0, 2.5, 7.0, None]
