@@ -173,6 +173,12 @@ def chart_series(spark: SparkSession, d: str) -> DataFrame:
     return got.select("series", "ordinal", "category", "value")
 
 
+def chart_series_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The series and its categories over all rows of the sheet; `chart_series` ends at row 100, as its SQL does."""
+    got = charts.series_data(part_cells(spark, d), "price", "F:F", "C:C")
+    return got.select("series", "ordinal", "category", "value")
+
+
 def _drawn(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         l = table(spark, d, "lineitem")  # noqa: E741
@@ -185,7 +191,7 @@ def _drawn(kind: str):
 
 QUERIES = {f.__name__: f for f in (
     list_sheets, read_range, read_limits, search_cells, count_cells, sheet_text, chunk_dump, cell_types, shown_numbers, chunk_plan, chunk_progress, each_chunk, memory_plan, col_to_index, a1_parse,
-    range_expand, formulas, formulas_whole, formula_arith, formula_refs, validate_cells, chart_series,
+    range_expand, formulas, formulas_whole, formula_arith, formula_refs, validate_cells, chart_series, chart_series_whole,
 )}
 QUERIES |= {f"chart_{k}": _drawn(kind) for k, kind in (("column", "Column"), ("stacked", "ColumnStacked"), ("percent", "BarPercentStacked"), ("pie", "Pie"), ("scatter", "ScatterSmooth"))}
 

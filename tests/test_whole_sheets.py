@@ -48,3 +48,10 @@ def test_whole_columns_in_formulas(spark):
     asked = {"sum": "=SUM(A:A)", "count": "=COUNT(A:B)", "mean": "=AVERAGE(A:A)", "two": "=COUNT(A:A,B1:B2,3)", "both": "=AVERAGE(A:A,5)", "other": "=SUM(t!A:A)", "none": "=AVERAGE(D:D)"}
     got = formula.evaluate(one, asked, sheet="s").first()
     assert [got[k] for k in asked] == [10.0, 10.0, 2.0, 8.0, 2.5, 7.0, None]
+
+
+def test_series_reaches_the_last_row(spark, con, sf, long_part):
+    for d, part in ((sf, "part"), (long_part, f"'{long_part}/part.parquet/*.parquet'")):
+        want = con.execute(f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, coalesce(p_brand, ''), p_retailprice FROM {part} ORDER BY row").fetchall()
+        got = sheets.QUERIES["chart_series_whole"](spark, d).orderBy("ordinal").collect()
+        assert [(r["ordinal"], r["category"], r["value"]) for r in got] == want and {r["series"] for r in got} == {"price"}
