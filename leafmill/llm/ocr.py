@@ -299,9 +299,33 @@ def _two(a: str, b: str) -> tuple[list[tuple[str, str]], list[str]]:
     return (list(zip(left, right)) if len(left) == len(right) else []), list((ca & cb).keys())
 
 
+def confusions(read_twice: DataFrame) -> DataFrame:
+    """(printed, read, n) of all confusions seen at least twice, over all pages with two readings; either reading may be the
+    wrong one, so both directions count.  Each side has two characters at most, which bounds the rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual: Counter = Counter()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w, v in _two(a, b)[0]:
+                    for x, y in ((w, v), (v, w)):
+                        places = difference(x, y)
+                        if places and len(places) == 1:
+                            usual[places[0]] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in usual], pa.string()), pa.array([q for _, q in usual], pa.string()), pa.array(list(usual.values()), pa.int64())], names=["printed", "read", "n"]
+        )
+
+    got = read_twice.select("a", "b").mapInArrow(work, "printed string, read string, n long")
+    return got.groupBy("printed", "read").agg(F.sum("n").alias("n")).where("n >= 2")
+
+
 def learn(texts: DataFrame, pairs: DataFrame) -> tuple[dict[tuple[str, str], float], Boosted | None]:
-    """(log frequency of each confusion, trees that rank candidates), from pages with two readings."""
-    fetched = readings(texts).withColumn("turn", F.xxhash64("page_id")).orderBy("turn").limit(SAMPLE_PAGES).select("a", "b")
+    """(log frequency of each confusion, trees that rank candidates), from pages with two readings.  The
+    confusions decide which candidates are ranked at all and are counted over all pages; only the trees are fitted on
+    SAMPLE_PAGES of them."""
+    read_twice = materialise(readings(texts), "readings")
+    fetched = read_twice.withColumn("turn", F.xxhash64("page_id")).orderBy("turn").limit(SAMPLE_PAGES).select("a", "b")
     differ: Counter = Counter()
     same: set[str] = set()
     for a, b in fetched.toLocalIterator():
@@ -310,13 +334,7 @@ def learn(texts: DataFrame, pairs: DataFrame) -> tuple[dict[tuple[str, str], flo
         same.update(both)
     spark = texts.sparkSession
     told = [(w, v) for w, v in differ] + [(v, w) for w, v in differ]
-    usual: Counter = Counter()
-    for (w, v), n in differ.items():
-        for x, y in ((w, v), (v, w)):
-            places = difference(x, y)
-            if places and len(places) == 1:
-                usual[places[0]] += n
-    learned = {p: float(np.log1p(n)) for p, n in usual.items() if n >= 2}
+    learned = {(r["printed"], r["read"]): float(np.log1p(r["n"])) for r in confusions(read_twice).toLocalIterator()}
     if not told:
         return learned, None
     labels = spark.createDataFrame(pd.DataFrame({"w": [w for w, _ in told] + sorted(same), "truth": [v for _, v in told] + [""] * len(same)}))

@@ -213,6 +213,16 @@ def test_noise_of_a_small_file(spark):
     assert fixed["page", 101] == "The folder is handed over." and fixed["ocr", 202] == ""
 
 
+def test_confusions_of_all_pages(spark, monkeypatch):
+    """A confusion of pages outside the sample counts as well."""
+    monkeypatch.setattr(ocr, "SAMPLE_PAGES", 1)
+    rows = [(kind, k, k, True, f"the {word} of page") for k in range(6) for kind, word in (("page", "house"), ("ocr", "hquse" if k < 3 else "houze"))]
+    texts = spark.createDataFrame(rows, "kind string, id long, page_id long, scanned boolean, text string")
+    pairs = spark.createDataFrame([], "w string, v string, shared long, n_scan long, n_own long, n_clean long")
+    learned, _ = ocr.learn(texts, pairs)
+    assert learned == {p: pytest.approx(np.log1p(3)) for p in (("o", "q"), ("q", "o"), ("s", "z"), ("z", "s"))}
+
+
 def test_noise_of_nothing(spark):
     p = spark.createDataFrame([], "page_id long, pdf_id long, number long, raw_text string")
     o = spark.createDataFrame([], "ocr_id long, page_id long, text string")
