@@ -97,3 +97,19 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             out = out * _BASE + hashes[k : k + n]
         return mix(out)
+
+
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A Karp-Rabin hash of each run of `size` words, from running sums, so that long runs cost no more than short ones.
+    Runs may cross texts; the caller masks those."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        power, back = np.full(len(hashes), _BASE), np.full(n, _INVERSE)
+        power[0] = back[0] = 1
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(power))))
+        return mix((sums[size:] - sums[:n]) * np.cumprod(back))

@@ -338,33 +338,49 @@ def test_tokens_of_long_texts():
 
 
 def brute_passage(d, t):
-    """The most unchanged words of a passage, by search over all starts and all changes."""
-    best = 0
-
-    def go(p, q, got, run, first):
-        nonlocal best
-        best = max(best, got)
-        if p < len(d) and q < len(t) and d[p] == t[q]:
-            go(p + 1, q + 1, got + 1, run + 1, first)
-            return
-        if run and (first or run >= leakage.BETWEEN):
-            for dp, dq in ((1, 1), (0, 1), (1, 0)):
-                if p + dp < len(d) and q + dq < len(t) and d[p + dp] == t[q + dq]:
-                    go(p + dp, q + dq, got, 0, False)
+    """The most unchanged words of a passage, by search over all starts and all changes.  A run of fewer than BETWEEN words
+    at an end counts only where no other change of one word follows it."""
+
+    def run(p, q, step):
+        n = 0
+        while 0 <= p + step * n < len(d) and 0 <= q + step * n < len(t) and d[p + step * n] == t[q + step * n]:
+            n += 1
+        return n
+
+    def go(p, q, step):
+        best = 0
+        for dp, dq in ((1, 1), (0, 1), (1, 0)):
+            a, b = p + step * dp, q + step * dq
+            n = run(a, b, step)
+            if n >= leakage.BETWEEN:
+                best = max(best, n + go(a + step * n, b + step * n, step))
+            elif n:
+                a, b = a + step * n, b + step * n
+                one_left = 0 <= a < len(d) and b == (len(t) - 1 if step > 0 else 0)
+                again = 0 <= a < len(d) and 0 <= b < len(t) and any(run(a + step * x, b + step * y, step) for x, y in ((1, 1), (0, 1), (1, 0)))
+                best = max(best, 0 if one_left or again else n)
+        return best
 
+    best = 0
     for p in range(len(d)):
         for q in range(len(t)):
-            if d[p] == t[q] and not (p and q and d[p - 1] == t[q - 1]):
-                go(p, q, 0, 0, True)
+            n = run(p, q, 1)
+            if n >= leakage.SEED and not (p and q and d[p - 1] == t[q - 1]):
+                best = max(best, n + go(p + n, q + n, 1) + go(p - 1, q - 1, -1))
     return best
 
 
-def test_passages_against_brute_force():
-    r = random.Random(7)
-    vocab = [f"w{k}" for k in range(400)]
-    wrong = 0
-    for _ in range(150):
-        item = r.sample(vocab, r.randint(12, 40))
+def probe(doc, item):
+    return leakage._probe(*textbatch.words([doc]), leakage._Items.of([5], [item]))
+
+
+@pytest.mark.parametrize("size", [400, 12])  # few different words: passages cross tiles of other places
+def test_passages_against_brute_force(size):
+    r = random.Random(size)
+    vocab = [f"w{k}" for k in range(size)]
+    wrong = hits = 0
+    for _ in range(200):
+        item = r.sample(vocab, r.randint(12, 40)) if size > 40 else r.choices(vocab, k=r.randint(12, 40))
         a = r.randint(0, len(item) - 8)
         part = item[a : a + r.randint(8, len(item) - a)]
         k = 0
@@ -379,15 +395,39 @@ def test_passages_against_brute_force():
                 elif move == "i":
                     part.insert(k, "new")
         doc = [f"z{k}" for k in range(r.randint(0, 20))] + part + ["end"] * 3
-        rows = leakage._probe(np.array([1]), [" ".join(doc)], [leakage._Items([5], [" ".join(item)])])
-        found = bool(rows) and rows[0][2] >= leakage.LEAST
+        rows = probe(" ".join(doc), " ".join(item))
+        found = bool(rows) and rows[0][2]
+        hits += found
         wrong += found != (brute_passage(doc, item) >= leakage.LEAST)
-    assert wrong == 0
+    assert wrong == 0 and hits > 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=60), st.lists(st.integers(1, 4), max_size=60))
+def test_tiles_are_whole(d, t):
+    """Tiles agree, do not overlap, and leave no unmarked match of SEED words."""
+    a, b = np.array(d, np.uint64), np.array(t, np.uint64)
+    md, mt = [False] * len(d), [False] * len(t)
+    for p, q, n in leakage.tile(a, b):
+        assert n >= leakage.SEED and d[p : p + n] == t[q : q + n] and not any(md[p : p + n]) and not any(mt[q : q + n])
+        md[p : p + n] = mt[q : q + n] = [True] * n
+    s = leakage.SEED
+    assert not any(d[p : p + s] == t[q : q + s] and not any(md[p : p + s]) and not any(mt[q : q + s]) for p in range(len(d) - s + 1) for q in range(len(t) - s + 1))
+
+
+@pytest.mark.parametrize(("d", "t"), [([7] * 10_000, [7] * 10_000), ([7] * 10_000, [1, 2] + [7] * 6 + [3]), (list(range(9_000)), [0 if k % 7 == 0 else k for k in range(9_000)]), ([k % 20 for k in range(9_000)], [k % 20 for k in range(900)])])
+def test_repetitive_texts_end_soon(d, t):
+    import time
+
+    began = time.perf_counter()
+    d, t = np.array(d, np.uint64), np.array(t, np.uint64)
+    leakage.passage(d, t, leakage.tile(d, t), leakage._shared(d, t))
+    assert time.perf_counter() - began < 2
 
 
 def test_leaks(spark):
     item = "Below the moss cellar, Ulkagovara named 815 rope ladders after Fenlenbraskar and for 740 winters nobody asked why."
-    disguised = item.upper().replace("A", "А").replace(" ", " ", 3).replace("ROPE", "RO​PE").replace("NAMED", "CALLED")
+    disguised = item.upper().replace("A", "А").replace(" ", " ", 3).replace("ROPE", "RO​PE").replace("NAMED", "CALLED")
     docs = [(1, f"x {item} y"), (2, disguised), (3, " ".join(item.split()[:11])), (4, None), (5, ""), (6, "\n".join(item.split())), (7, LONG + item), (1, f"x {item} y"), (8, " ".join(reversed(item.split())))]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     i = spark.createDataFrame([(10, item), (11, "too short to leak"), (12, None), (10, item)], "item_id long, text string")
@@ -395,19 +435,30 @@ def test_leaks(spark):
     assert leakage.found_leaks(d, i.where("item_id < 0")).count() == 0 and leakage.found_leaks(d.where("doc_id < 0"), i).count() == 0
 
 
-def test_item_blocks_change_nothing(spark, sf, monkeypatch):
+def test_items_beyond_the_bound_are_joined(spark, sf, monkeypatch):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
-    want = {tuple(x) for x in leakage.found_leaks(docs, items).collect()}
-    monkeypatch.setattr(leakage, "ITEM_WORDS", 4000)
-    assert len(leakage.item_blocks(items)) > 2
-    assert {tuple(x) for x in leakage.found_leaks(docs, items).collect()} == want
-
-
-def test_tiling_catches_another_order():
-    words = [f"w{k}" for k in range(20)]
-    h = lambda x: textbatch.words([" ".join(x)])[0]
-    tiles = leakage.tile(h(words[10:] + words[:10]), h(words))
-    assert sum(t[2] for t in tiles) == 20 and len(tiles) == 2
+    docs = docs.unionByName(docs.limit(20))
+    want, parts = ({tuple(x) for x in f(docs, items).collect()} for f in (leakage.found_leaks, leakage.covered))
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 1000)
+    assert want and {tuple(x) for x in leakage.found_leaks(docs, items).collect()} == want
+    assert {tuple(x) for x in leakage.covered(docs, items).collect()} == parts
+
+
+def test_reordered_pieces_are_covered(spark):
+    words = [f"word{k}" for k in range(34)]
+    pieces = [words[k : k + 6] for k in range(0, 30, 6)]
+    doc = " ".join(w for k in (3, 0, 4, 2, 1) for w in pieces[k])
+    d, i = spark.createDataFrame([(1, doc), (2, "other")], "doc_id long, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    got = leakage.covered(d, i).collect()
+    assert [(r["doc_id"], r["item_id"], r["passage"], r["tiled_words"], r["tiles"]) for r in got] == [(1, 9, False, 30, 5)]
+    assert leakage.found_leaks(d, i).count() == 0
+
+
+def test_running_hash_tells_runs_apart():
+    h = textbatch.mix(np.arange(50, dtype=np.uint64) % 7)
+    for size in (1, 5, 16):
+        got, plain = textbatch.rolling(h, size), [tuple(h[k : k + size]) for k in range(len(h) - size + 1)]
+        assert len(set(zip(got.tolist(), plain))) == len(set(plain)) == len(set(got.tolist()))
 
 
 # --- p8
