@@ -1,14 +1,21 @@
 """Template residue, filler, error messages and script notices that stand where content should be.
 
-One automaton holds the openings of all placeholder notations and all phrases; one pass over a text finds every hit.
-Only texts with hits are looked at further: a hit inside code marks, code blocks or quotation marks is a quotation and
-is dropped.  A placeholder left over counts wherever it stands.  Phrases count by coverage: the share of the letters of
-their paragraph that phrases cover, since a phrase within a sentence of other words is spoken about, not said.  A
-document is excluded when a placeholder stands or when a paragraph is covered to COVERAGE or more, so a real rest does
-not save it; the coverage over the whole document is given beside it.
+One automaton holds all phrases and the openings of all placeholder notations; one pass over a text finds every hit.  A
+phrase with a star goes on with a number, a code or a name, an opening with the rest of its placeholder.  Hits inside code
+marks, code blocks or quotation marks are quotations and are dropped.  What is left covers letters, and coverage decides,
+window by window:
+
+* a phrase by its line, which is residue when COVERAGE of its letters are covered, or by its sentence, from SENTENCE on: a
+  phrase within a sentence of other words is spoken about, not said;
+* a placeholder by the stretch it stands in, with the letters, digits and signs of names and addresses that touch it, so
+  that `/{id}/` inside an address is none.
+
+The coverage of the document is the share of its letters in such windows.  It is excluded when that is above `share`,
+which is 0 because TESTDATA.md counts a document whose rest is real as well; a user who wants only documents that hold
+little else asks for a higher share.
 
 Defined results: null, empty and blank texts are not excluded (they hold nothing to match); repeated rows are each
-judged; other columns are carried along unread.
+judged; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.5
+SENTENCE, SENTENCE_LETTERS = 0.8, 12
 
 # Phrases in small letters (fixed values).  A star stands for a number, a code or a name of a few characters.
 ERRORS = """
@@ -75,69 +83,99 @@ texto de exemplo | seu texto aqui | o seu texto aqui | insira o texto aqui | sub
 ここにテキストを入力してください | ここに内容を入力 | ここに文章を入力 | サンプルテキスト | ダミーテキスト
 """
 
-# Notations of a placeholder (fixed values): its opening for the automaton, and the whole.
+# What is missing and what is said of it; each of the first with each of the second is a phrase (fixed values).
+MISSING = (
+    ("page | requested page | site | website | url | web address | requested resource | link",
+     "not found | was not found | could not be found | cannot be found | can't be found | no longer exists | does not exist | doesn't exist | is not available | is no longer available"
+     " | is currently unavailable | is temporarily unavailable | could not be loaded | failed to load | cannot be displayed | has expired"),
+    ("diese seite | die seite | die angeforderte seite | diese website | die angeforderte datei | die angeforderte url",
+     "existiert nicht | existiert nicht mehr | wurde nicht gefunden | konnte nicht gefunden werden | ist nicht verfügbar | ist derzeit nicht verfügbar | konnte nicht geladen werden | kann nicht angezeigt werden"),
+    ("cette page | la page | la page demandée | ce site | le document demandé | l'adresse demandée",
+     "n'existe pas | n'existe plus | est introuvable | n'a pas été trouvée | n'a pas été trouvé | est indisponible | n'est pas disponible | n'a pas pu être chargée | ne peut pas être affichée"),
+    ("esta página | la página | la página solicitada | este sitio | el documento solicitado",
+     "no existe | ya no existe | no se encuentra | no se ha encontrado | no se encontró | no está disponible | no se pudo cargar | no se puede mostrar"),
+    ("esta página | a página | a página solicitada | este site | o documento solicitado",
+     "não existe | já não existe | não existe mais | não foi encontrada | não foi encontrado | não está disponível | não pôde ser carregada | não pode ser exibida"),
+    ("페이지를 | 요청하신 문서를 | 요청한 페이지를 | 사이트를", "찾을 수 없습니다 | 표시할 수 없습니다 | 불러올 수 없습니다 | 열 수 없습니다"),
+    ("ページが | お探しのページは | このページは | ご指定のページは | サイトが", "見つかりません | 見つかりませんでした | 存在しません | 表示できません | 読み込めませんでした | 利用できません"),
+)
+
+# Notations of a placeholder (fixed values): its opening, which is in the automaton, and the whole.
 _NAME = r"[A-Za-z][A-Za-z0-9_.]*"
 PLACEHOLDERS = {
-    "{{": r"\{\{\{?\s*[^{}\n]{1,60}?\s*\}\}\}?",
-    "{%": r"\{%-?\s*\w[^%\n]{0,60}%\}",
-    "<%": r"<%=?\s*[^%\n]{1,60}?%>",
+    "{{": r"\{\{\{?\s*[^{}\n]+?\s*\}\}\}?",
+    "{%": r"\{%-?\s*\w[^%\n]*%\}",
+    "<%": r"<%=?\s*[^%\n]+?%>",
     "${": r"\$\{\s*" + _NAME + r"\s*\}",
-    "<<": r"<<\s*[\w ]{1,40}?\s*>>",
+    "<<": r"<<\s*[\w ]+?\s*>>",
+    "<": r"<(?i:(?:your|insert|enter|add|type)\s[\w ]+|[\w ]+\shere)>",
     "«": r"«(?:[A-Z][A-Za-z0-9_]*|[a-z][A-Za-z0-9]*_[A-Za-z0-9_]*)»",
     "@@": r"@@" + _NAME + r"@@",
     "__": r"(?<![\w])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?![\w])",
     "%": r"%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%",
     "#": r"(?<![\w#])#[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*#",
     "{": r"(?<![\w$#{%])\{[A-Za-z][A-Za-z0-9_]*\}",
-    "[": r"\[\s*(?:(?i:insert|enter|your|add|type|fill in|name of|tbd|tbc|to be)(?![\w])[^\[\]\n]{0,50}|(?i:name|date|title|company|amount|recipient|signature|client name)"
-    r"|여기에[^\[\]\n]{0,30}|[^\[\]\n]{0,30}(?:입력|einfügen|hier eintragen|ici|aquí|aqui|を入力))\s*\](?!\()",
+    "[": r"\[\s*(?:(?i:insert|enter|your|add|type|fill in|name of|tbd|tbc|to be)(?![\w])[^\[\]\n]*|(?i:name|date|title|company|amount|recipient|signature|client name)"
+    r"|여기에[^\[\]\n]*|[^\[\]\n]*(?:입력|einfügen|hier eintragen|ici|aquí|aqui|を入力))\s*\](?!\()",
 }
 _COMPILED = {k: re.compile(v) for k, v in PLACEHOLDERS.items()}
-_STAR = r"[\w.:/#()-]{1,24}"
+_STAR = r"[\w.:/#()-]+"
 _CROSSES = re.compile(r"^[\sxX.,]{8,}$")
 _QUOTED = re.compile(
-    r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(?<!`)``?(?!`)[^`\n]+``?|\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«\s[^»\n]{1,400}\s»|‹[^›\n]{1,400}›"
-    r"|「[^」\n]{1,400}」|『[^』\n]{1,400}』|‘[^’\n]{1,200}’(?!\w)",
+    r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(?<!`)``?(?!`)[^`\n]+``?|\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«\s[^»\n]+\s»|‹[^›\n]+›|「[^」\n]+」|『[^』\n]+』|‘[^’\n]+’(?!\w)",
     re.S,
 )
+_SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
+#: What belongs to a name or an address that a placeholder is part of.
+_TOUCHING = re.compile(r"[A-Za-z0-9_/.:=&?-]*")
+
+
+def phrases() -> dict[str, list[str]]:
+    """All phrases by kind."""
+    out = {kind: [p for p in map(str.strip, re.split(r"[|\n]", part)) if p and not p.startswith("*")] for kind, part in (("error", ERRORS), ("script", SCRIPTS), ("filler", FILLER))}
+    for what, said in MISSING:
+        out["error"] += [f"{a.strip()} {b.strip()}" for a in what.split("|") for b in said.split("|")]
+        if what[0] > "\u3000":  # scripts in which the two are often written without a space
+            out["error"] += [a.strip() + b.strip() for a in what.split("|") for b in said.split("|")]
+    return out
 
 
 @functools.cache
-def _phrases() -> tuple[ahocorasick.Automaton, dict[str, tuple[str, re.Pattern | None]]]:
+def _automaton() -> tuple[ahocorasick.Automaton, dict[str, tuple[str, list[re.Pattern]]]]:
     automaton, tails = ahocorasick.Automaton(), {}
-    for kind, part in (("error", ERRORS), ("script", SCRIPTS), ("filler", FILLER)):
-        for phrase in (p.strip() for p in re.split(r"[|\n]", part)):
-            if not phrase:
-                continue
+    for kind, part in phrases().items():
+        for phrase in part:
             head, star, rest = phrase.partition("*")
-            if not head:
-                continue
-            tail = re.compile(_STAR + ".*?".join(map(re.escape, rest.split("*"))), re.S) if star else None
             known = tails.setdefault(head, (kind, []))
-            if tail is not None:
-                known[1].append(tail)
+            if star:
+                known[1].append(re.compile(_STAR + ".*?".join(map(re.escape, rest.split("*"))), re.S))
             automaton.add_word(head, head)
+    for opening in PLACEHOLDERS:
+        automaton.add_word(opening, opening)
     automaton.make_automaton()
     return automaton, tails
 
 
-def _letters(text: str) -> int:
-    return sum(map(str.isalnum, text))
+def _small(text: str) -> str:
+    """Small letters, character for character: a few capital letters have longer small forms."""
+    small = text.lower()
+    return small if len(small) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
-def judge(text: str) -> tuple[bool, str | None, float, int]:
-    """(excluded, kinds joined by commas, coverage over the document, hits) of one text."""
-    hits: list[tuple[int, int, str]] = []
-    for opening, pattern in _COMPILED.items():
-        if opening in text:
-            hits += [(m.start(), m.end(), "placeholder") for m in pattern.finditer(text)]
-    small = text.lower()
-    if len(small) != len(text):  # a few capital letters have longer small forms
-        small = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    automaton, tails = _phrases()
+def hits(text: str) -> list[tuple[int, int, str]]:
+    """(start, stop, kind) of every phrase and placeholder outside quotations."""
+    found: list[tuple[int, int, str]] = []
+    small = _small(text)
+    automaton, tails = _automaton()
+    until: dict[str, int] = {}
     for end, head in automaton.iter(small):
-        kind, rest = tails[head]
         start, stop = end - len(head) + 1, end + 1
+        if head in _COMPILED:
+            if start >= until.get(head, 0) and (m := _COMPILED[head].match(text, start)):
+                found.append((start, m.end(), "placeholder"))
+                until[head] = m.end()
+            continue
+        kind, rest = tails[head]
         if small[start].isascii() and small[start].isalnum() and start and small[start - 1].isalnum():
             continue  # the phrase begins inside a word
         if small[end].isascii() and small[end].isalnum() and stop < len(small) and small[stop].isascii() and small[stop].isalnum() and not rest:
@@ -147,48 +185,75 @@ def judge(text: str) -> tuple[bool, str | None, float, int]:
                 stop = max(stop, m.end())
         if rest and stop == end + 1 and head.endswith(" "):
             continue  # nothing where the number or code should be
-        hits.append((start, stop, kind))
-    crosses = "xxxx" in small
-    if not hits and not crosses:
-        return False, None, 0.0, 0
+        found.append((start, stop, kind))
+    if not found:
+        return found
     quoted = [m.span() for m in _QUOTED.finditer(text)]
     # A placeholder may itself be written in guillemets; it is quoted only by marks outside it.
-    free = [h for h in hits if not any(a <= h[0] and h[1] <= b and (a, b) != (h[0], h[1]) for a, b in quoted)]
-    kinds = {h[2] for h in free if h[2] == "placeholder"}
+    return [h for h in found if not any(a <= h[0] and h[1] <= b and (a, b) != (h[0], h[1]) for a, b in quoted)]
+
+
+def _letters(text: str) -> int:
+    return sum(map(str.isalnum, text))
+
+
+def _stands(text: str, start: int, stop: int) -> bool:
+    """Whether a placeholder covers COVERAGE of the stretch it is part of."""
+    after = _TOUCHING.match(text, stop).group()
+    before = _TOUCHING.match(text[max(text.rfind("\n", 0, start), text.rfind(" ", 0, start)) + 1 : start][::-1]).group()
+    return stop - start >= COVERAGE * (stop - start + _letters(before) + _letters(after))
+
+
+def judge(text: str, share: float = 0.0) -> tuple[bool, str | None, float, int]:
+    """(excluded, kinds joined by commas, coverage of the document, hits outside quotations) of one text."""
+    free = hits(text)
+    crosses = "xxxx" in text.lower()
+    if not free and not crosses:
+        return False, None, 0.0, 0
     covered = bytearray(len(text))
     for a, b, _ in free:
         covered[a:b] = b"\1" * (b - a)
+    kinds: set[str] = set()
     total = got = at = 0
     for line in text.split("\n"):
         n = _letters(line)
         if n:
-            mine = sum(1 for k, c in enumerate(line, at) if covered[k] and c.isalnum())
+            mine = [h for h in free if at <= h[0] < at + len(line)]
+            window = 0
+            for a, b, kind in mine:
+                if kind == "placeholder" and _stands(text, a, b):
+                    kinds.add(kind)
+                    window += max(_letters(text[a:b]), 1)
+            said = {kind for _, _, kind in mine if kind != "placeholder"}
             if crosses and n >= 8 and _CROSSES.match(line):
-                mine, kinds = n, kinds | {"filler"}
-            total, got = total + n, got + mine
-            inside = {h[2] for h in free if h[2] != "placeholder" and at <= h[0] < at + len(line)}
-            if inside and mine >= COVERAGE * n:
-                kinds |= inside
-            elif inside:
+                kinds.add("filler")
+                window = n
+            elif said and sum(1 for k, c in enumerate(line, at) if covered[k] and c.isalnum()) >= COVERAGE * n:
+                kinds |= said
+                window = n
+            elif said:
                 # The message may be one sentence of a longer line.
-                for m in re.finditer(r"[^.!?。！？]+[.!?。！？]*", line):
+                for m in _SENTENCE.finditer(line):
                     piece = range(at + m.start(), at + m.end())
                     size = _letters(m.group())
-                    if size and sum(1 for k in piece if covered[k] and text[k].isalnum()) >= 0.8 * size and size >= 12:
-                        kinds |= {h[2] for h in free if h[2] != "placeholder" and h[0] in piece}
+                    if size >= SENTENCE_LETTERS and sum(1 for k in piece if covered[k] and text[k].isalnum()) >= SENTENCE * size:
+                        kinds |= {kind for a, _, kind in mine if kind != "placeholder" and a in piece}
+                        window += size
+            total, got = total + n, got + min(window, n)
         at += len(line) + 1
-    share = got / total if total else 0.0
-    return bool(kinds), ",".join(sorted(kinds)) or None, share, len(free)
+    coverage = got / total if total else 0.0
+    out = bool(kinds) and coverage > share
+    return out, ",".join(sorted(kinds)) or None if out else None, coverage, len(free)
 
 
-def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.0) -> DataFrame:
     """(key, excluded, kinds, coverage, hits), one row for each row of `documents`."""
     source = documents.select(F.col(key), F.col(text))
     schema = f"{key} {source.dtypes[0][1]}, excluded boolean, kinds string, coverage double, hits int"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t) if t else (False, None, 0.0, 0) for t in batch.column(1).to_pylist()]
+            rows = [judge(t, share) if t else (False, None, 0.0, 0) for t in batch.column(1).to_pylist()]
             flags, kinds, cover, hits = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(flags, pa.bool_()), pa.array(kinds, pa.string()), pa.array(cover, pa.float64()), pa.array(hits, pa.int32())],
