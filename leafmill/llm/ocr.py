@@ -2,14 +2,19 @@
 
 * Misread words.  Word types are counted over all texts; types that born-digital pages use are trusted.  For every other
   type of scanned pages correction candidates are retrieved by an inverted join on positional character q-grams, and
-  boosted trees rank them: how usual the character confusion is, how frequent both words are, how much of them agrees.
-  The trees are trained on pages that have two independent readings: where one reading has a trusted word and the other
-  none, the trusted word is the correction.  Scripts without spaces are taken in windows of WINDOW characters.
-* Cut words.  A classifier over line pairs decides between a word that was cut (joined without its hyphen) and a compound
-  that broke at a hyphen of its own; it is trained on trusted words and compounds cut at random places.
-* Furniture.  A classifier over the outer lines of a page and their neighbours tells titles from running text; a title
-  found on TITLE_PAGES pages of its file, and on TITLE_SHARE of the file's scanned pages, is a running title.  A page
-  number is the page's own number alone on an outer line or set apart in a running title.
+  boosted trees rank them all: how usual the character confusion is between readings and over all candidates, how
+  frequent both words are, how sure the texts with the word were read, how much of the words agrees.  The trees are
+  trained on pages that have two independent readings: where one reading has a trusted word and the other none, the
+  trusted word is the correction.  Scripts without spaces are taken in windows of WINDOW characters.
+* Cut words.  A classifier over the two lines decides between a word that was cut (joined without its hyphen) and a compound
+  that broke at a hyphen of its own: how frequent word, compound and parts are, how full the line is, the mark.  It is
+  trained on breaks that the counts make clear, and again on the same breaks without their counts.
+* Furniture.  A classifier over the outer lines of a page and their neighbours tells titles from running text; a title is
+  found on TITLE_PAGES pages of its file, close to each other: on TITLE_DENSITY of the scanned pages between its first
+  and its last.  A page number is the page's own number on an outer line, alone or set apart in a title, in a form that a
+  classifier over the line and its neighbour knows from page numbers.
+
+Which pages are scanned is known by their ids; texts are not shuffled for it while the ids are SCANNED_IDS or fewer.
 
 Defined results: null, empty and blank texts have no noise and are repaired to themselves; results without a page, pages
 without a result and pages without a number are read without what is missing; repeated rows give one result; records of
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +45,24 @@ from leafmill.session import materialise
 TRUSTED = 3
 WINDOW = 5
 TITLE_PAGES = 3
-TITLE_SHARE = 0.1
+TITLE_DENSITY = 0.1
 #: Bounds of the labelled samples the classifiers are fitted on.
 SAMPLE_PAGES = 4_000
 SAMPLE_ROWS = 20_000
 ACCEPT = 0.5
 TITLE_ACCEPT = 0.2
+NUMBER_ACCEPT = 0.05
 MARKS = "-‐¬­"
-#: Bits of the filter that thins records before the exact join with the misread types.
-FILTER_BITS = 1 << 23
-
-# Characters that scanning takes for each other (fixed values), printed and read, used until pairs of readings teach more.
+#: Ids of scanned pages up to which they are sent to the workers (8 bytes each); more are joined by a shuffle.
+SCANNED_IDS = 1_000_000
+#: The filter that thins records before the exact join with the misread types: bits a type, and bits at most.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 28
+#: Pairs of types that one gram may give one task; a gram of more is split.
+GRAM_PAIRS = 5_000_000
+#: Lines of one title that one task joins.
+TITLE_ROWS = 100_000
+
+# Characters that scanning takes for each other (fixed values), printed and read; one of the features that rank a candidate.
 CONFUSED = "o0 l1 i1 l| il li s5 S5 g9 b6 B8 z2 a@ ec ce tf ft hb bh m=rn rn=m w=vv u=ii d=cl n=ri é6 ü=ii の0 이=01"
 _CONFUSED = {tuple(x.split("=")) if "=" in x else (x[0], x[1]) for x in CONFUSED.split()}
 
@@ -121,7 +134,7 @@ def types(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
             total = lambda bit: np.concatenate(([0], np.cumsum((kind & bit) > 0)))
             sums = {bit: total(bit) for bit in (1, 2, 4, 8, 16)}
             n = {bit: s[stops] - s[starts] for bit, s in sums.items()}
-            word = (n[1] >= 1) & (n[16] == 0) & (stops - starts >= 2) & (stops - starts <= 60)
+            word = (n[1] >= 1) & (n[16] == 0) & (stops - starts >= 2)
             word &= (n[8] > 0) | ((n[4] <= 1) & (n[1] >= n[2]) & ((n[4] == 0) | ((kind[starts] & 4) > 0) | (n[2] == 0)))
             s, e = starts[word], stops[word]
             place = tb.within(starts, len(got))
@@ -162,43 +175,74 @@ def form(w: str) -> str:
     return unicodedata.normalize("NFD", w) if any("가" <= c <= "힣" for c in w) else w
 
 
+def _confidence(ocr_results: DataFrame) -> Column:
+    """The confidence of a result between 0 and 1; null where it is missing or makes no sense."""
+    if "confidence" not in ocr_results.columns:
+        return F.lit(None).cast("double")
+    c = F.col("confidence").cast("double")
+    return F.when(c.between(0, 1), c).when((c > 1) & (c <= 100), c / 100)
+
+
 def records(ocr_results: DataFrame, pdf_pages: DataFrame) -> DataFrame:
-    """One table of texts: kind, id, page_id, pdf_id, number, scanned, text.  Pages count as scanned when they have a result."""
-    pages = pdf_pages.select("page_id", "pdf_id", "number", F.col("raw_text").alias("text"))
-    seen = ocr_results.where("page_id is not null").select("page_id").distinct().withColumn("scanned", F.lit(True))
-    a = pages.join(seen, "page_id", "left").where(F.col("text").isNotNull()).select(
-        F.lit("page").alias("kind"), F.col("page_id").alias("id"), "page_id", "pdf_id", "number", F.coalesce("scanned", F.lit(False)).alias("scanned"), "text"
+    """One table of texts: kind, id, page_id, pdf_id, number, scanned, confidence, text.  Pages count as scanned when they have a
+    result; pdf_id and number are null for results, which take them from their page by `placed`."""
+    pages = pdf_pages.where(F.col("raw_text").isNotNull()).select("page_id", "pdf_id", "number", F.col("raw_text").alias("text"))
+    seen = materialise(ocr_results.where("page_id is not null").select("page_id").distinct(), "scanned").withColumn("seen", F.lit(True))
+    count = seen.count()
+    if count <= SCANNED_IDS:
+        pages = pages.join(F.broadcast(seen), "page_id", "left")
+    else:
+        parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 10_000)
+        pages = pages.repartition(parts, "page_id").join(seen, "page_id", "left")
+    a = pages.select(
+        F.lit("page").alias("kind"), F.col("page_id").alias("id"), "page_id", "pdf_id", F.col("number").cast("long").alias("number"), F.coalesce("seen", F.lit(False)).alias("scanned"),
+        F.lit(None).cast("double").alias("confidence"), "text",
     )
-    where = pages.groupBy("page_id").agg(F.min("pdf_id").alias("pdf_id"), F.min("number").alias("number"))
-    b = ocr_results.where(F.col("text").isNotNull()).select("ocr_id", "page_id", "text").join(where, "page_id", "left").select(
-        F.lit("ocr").alias("kind"), F.col("ocr_id").alias("id"), "page_id", "pdf_id", "number", F.lit(True).alias("scanned"), "text"
+    b = ocr_results.where(F.col("text").isNotNull()).select(
+        F.lit("ocr").alias("kind"), F.col("ocr_id").alias("id"), "page_id", F.lit(None).cast("long").alias("pdf_id"), F.lit(None).cast("long").alias("number"), F.lit(True).alias("scanned"),
+        _confidence(ocr_results).alias("confidence"), "text",
     )
     return a.unionByName(b)
 
 
+def placed(rows: DataFrame, pdf_pages: DataFrame) -> DataFrame:
+    """Rows of results with the pdf_id and number of their page; only ids are joined."""
+    where = pdf_pages.groupBy("page_id").agg(F.min("pdf_id").alias("pdf_id"), F.min(F.col("number").cast("long")).alias("number"))
+    mine = rows.where("kind = 'ocr'").drop("pdf_id", "own").join(where.withColumnRenamed("number", "own"), "page_id", "left")
+    return rows.where("kind <> 'ocr'").unionByName(mine)
+
+
 def count_types(texts: DataFrame) -> DataFrame:
-    """(w, f, n_clean, n_scan) of all word types; counted per block before the shuffle."""
+    """(w, n_clean, n_scan, sure) of all word types, `sure` being the mean confidence of what they were read in; counted per
+    block before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scanned = batch.column(0).to_numpy(zero_copy_only=False)
-            counts: dict[str, list[int]] = {}
+            sure = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            counts: dict[str, list[float]] = {}
             for start, block in tb.blocks(batch, "text", 2_000_000):
                 names, token, owner = types([t or "" for t in block])
-                flag = scanned[start : start + len(block)][owner] if len(owner) else np.zeros(0, bool)
-                for which in (0, 1):
-                    got = np.bincount(token[flag == bool(which)], minlength=len(names)) if len(token) else np.zeros(0, int)
-                    for k in np.flatnonzero(got):
-                        counts.setdefault(names[k], [0, 0])[which] += int(got[k])
+                if not len(token):
+                    continue
+                owner = owner + start
+                known = ~np.isnan(sure[owner])
+                n = np.bincount(token, minlength=len(names))
+                scan = np.bincount(token, scanned[owner].astype(float), len(names))
+                total = np.bincount(token, np.where(known, sure[owner], 0.0), len(names))
+                told = np.bincount(token, known.astype(float), len(names))
+                for w, *got in zip(names, (n - scan).tolist(), scan.tolist(), total.tolist(), told.tolist()):
+                    mine = counts.get(w)
+                    counts[w] = got if mine is None else [x + y for x, y in zip(mine, got)]
             counts.pop("", None)
-            words = list(counts)
+            cols = list(zip(*counts.values())) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array([counts[w][0] for w in words], pa.int64()), pa.array([counts[w][1] for w in words], pa.int64())],
-                names=["w", "n_clean", "n_scan"],
+                [pa.array(list(counts), pa.string()), *(pa.array(np.array(c, np.int64)) for c in cols[:2]), pa.array(cols[2], pa.float64()), pa.array(np.array(cols[3], np.int64))],
+                names=["w", "n_clean", "n_scan", "total", "told"],
             )
 
-    got = texts.select("scanned", "text").mapInArrow(work, "w string, n_clean long, n_scan long")
-    return got.groupBy("w").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    got = texts.select("scanned", "confidence", "text").mapInArrow(work, "w string, n_clean long, n_scan long, total double, told long")
+    return got.groupBy("w").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"), (F.sum("total") / F.nullif(F.sum("told"), F.lit(0))).alias("sure"))
 
 
 def _grams(w: str) -> list[str]:
@@ -219,9 +263,10 @@ def _grams(w: str) -> list[str]:
 def _with_grams(words: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_grams(w) for w in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=[*batch.schema.names, "grams"])
+            got = [sorted({xxhash.xxh32_intdigest(g) & 0x7FFFFFFF for g in _grams(w)}) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*batch.schema.names, "grams"])
 
-    schema = ", ".join(f"{n} {t}" for n, t in words.dtypes) + ", grams array<string>"
+    schema = ", ".join(f"{n} {t}" for n, t in words.dtypes) + ", grams array<int>"
     return words.mapInArrow(work, schema)
 
 
@@ -252,41 +297,81 @@ def difference(w: str, v: str) -> list[tuple[str, str]] | None:
     return None
 
 
-def features(w: str, v: str, n_scan: int, n_clean: int, n_own: int, shared: int, usual: dict[tuple[str, str], float]) -> list[float] | None:
-    places = difference(w, v)
-    if not places or any(x == y or "-" in x + y for x, y in places):
-        return None  # hyphens are a matter of line ends
-    known = [usual.get(p, 0.0) for p in places]
-    prior = [1.0 if p in _CONFUSED else 0.0 for p in places]
-    strange = sum(1 for c in w if not c.isalpha())
+def features(w: str, v: str, places: list[tuple[str, str]], n_scan: int, n_clean: int, n_own: int, sure: float | None, support: float, usual: Counter, less: int = 0) -> list[float]:
+    """`usual` counts confusions between readings; `less` takes out what the pair itself has added to them."""
+    known = [np.log1p(max(usual.get(p, 0) - less, 0)) for p in places]
     f = form(w)
     return [
-        min(known), min(prior), len(places), np.log1p(n_scan), np.log1p(n_clean), np.log1p(n_own), np.log((n_clean + 1) / (n_scan + n_own + 1)),
-        strange, len(f), shared / max(len(f), 1), float(w[:1].isupper()), sum(len(x) for x, _ in places), sum(len(y) for _, y in places),
+        min(known), float(all(p in _CONFUSED for p in places)), np.log1p(support), len(places), np.log1p(n_scan), np.log1p(n_clean), np.log1p(n_own),
+        np.log((n_clean + 1) / (n_scan + n_own + 1)), sum(1 for c in w if not c.isalpha()), len(f), len(f) - len(form(v)), float(w[:1].isupper()), sum(len(x) for x, _ in places),
+        sum(len(y) for _, y in places), float(sure is not None), sure if sure is not None else 0.5,
     ]
 
 
+def _places(w: str, v: str) -> list[tuple[str, str]] | None:
+    got = difference(w, v)
+    # Hyphens are a matter of line ends.
+    return None if not got or any(x == y or "-" in x + y for x, y in got) else got
+
+
 def candidates(counted: DataFrame) -> DataFrame:
-    """(w, v, n_scan, n_own, n_clean, shared): untrusted types of scanned pages with trusted types that share q-grams."""
-    doubtful = _with_grams(counted.where(f"n_clean < {TRUSTED} and n_scan > 0").select("w", "n_scan", F.col("n_clean").alias("n_own")))
+    """(w, v, n_scan, n_own, n_clean, sure, places): untrusted types of scanned pages with the trusted types that differ from
+    them in one or two places, each place as what was printed and what was read.
+
+    A candidate shares half of the type's grams but those across the place of change.  So it shares one of the type's
+    rarest grams, as many as leave fewer than that, and only these are joined.
+    """
+    doubtful = _with_grams(counted.where(f"n_clean < {TRUSTED} and n_scan > 0").select("w", "n_scan", F.col("n_clean").alias("n_own"), "sure"))
     usual = counted.where(f"n_clean >= {TRUSTED}").select(F.col("w").alias("v"), "n_clean")
     # A compound that broke at its hyphen is counted without it, and may be misread as well.
     plain = usual.where(F.col("v").contains("-")).select(F.regexp_replace("v", "-", "").alias("v"), "n_clean")
-    trusted = _with_grams(usual.unionByName(plain).groupBy("v").agg(F.sum("n_clean").alias("n_clean")))
-    a = doubtful.select("w", "n_scan", "n_own", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    b = trusted.select("v", "n_clean", F.explode("grams").alias("gram"))
-    shared = a.join(b, "gram").groupBy("w", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"), F.first("n_scan").alias("n_scan"), F.first("n_own").alias("n_own"), F.first("n_clean").alias("n_clean"))
-    # A change in one place spares at least one half of the grams but those across the place.
-    return shared.where((F.col("shared") * 2 >= F.col("size") - 5) & (F.abs(F.length("w") - F.length("v")) <= 2)).drop("size")
+    trusted = _with_grams(usual.unionByName(plain).groupBy("v").agg(F.sum("n_clean").alias("n_clean"))).withColumnRenamed("grams", "v_grams")
+    b = trusted.select("v", "n_clean", "v_grams", F.explode("v_grams").alias("gram"))
+    held = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    present = doubtful.select("w", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(held, "gram")
+    least = F.greatest(F.ceil((F.col("size") - 5) / 2), F.lit(1))
+    # Grams that no trusted type has are the rarest of all.
+    ranked = present.groupBy("w").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("all"))
+    keep = F.greatest(F.size("all") - least + 1, F.lit(0)).cast("int")
+    rare = ranked.select("w", F.explode(F.slice("all", F.lit(1), keep)).alias("g")).select("w", F.col("g.gram").alias("gram"))
+    a = materialise(doubtful.join(rare, "w"), "rare-grams")
+    heavy = a.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).join(held, "gram").select("gram", (F.floor(F.col("m") * F.col("n") / GRAM_PAIRS) + 1).alias("salts")).where("salts > 1")
+    heavy = materialise(heavy, "heavy-grams")
+    on = ["gram"]
+    if not heavy.isEmpty():
+        on = ["gram", "salt"]
+        a = a.join(heavy, "gram", "left").withColumn("salt", F.pmod(F.xxhash64("w"), F.coalesce("salts", F.lit(1)))).drop("salts")
+        b = b.join(heavy, "gram", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    pairs = a.join(b, on).where((F.abs(F.length("w") - F.length("v")) <= 2) & (F.size(F.array_intersect("grams", "v_grams")) * 2 >= F.size("grams") - 5))
+    pairs = pairs.select("w", "v", "n_scan", "n_own", "n_clean", "sure").distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_places(w, v) for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            keep = pa.array([k for k, p in enumerate(got) if p], pa.int64())
+            places = pa.array([[f"{x}\t{y}" for x, y in p] for p in got if p], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns), places], names=[*batch.schema.names, "places"])
+
+    return pairs.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in pairs.dtypes) + ", places array<string>")
+
+
+def supported(pairs: DataFrame) -> DataFrame:
+    """The candidates with the number of candidates, over all data, that the rarer of their confusions explains."""
+    support = pairs.select("w", F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    one, two = support.select(F.col("place").alias("p1"), F.col("n").alias("n1")), support.select(F.col("place").alias("p2"), F.col("n").alias("n2"))
+    got = pairs.withColumn("p1", F.col("places")[0]).withColumn("p2", F.try_element_at("places", F.lit(2)))
+    return got.join(one, "p1").join(two, "p2", "left").withColumn("support", F.least("n1", F.coalesce("n2", "n1"))).drop("p1", "p2", "n1", "n2")
 
 
 def readings(texts: DataFrame) -> DataFrame:
-    """(page_id, a, b): the pages with two different readings, their text layer and their result."""
-    scanned = texts.where("scanned")
-    both = scanned.where("kind = 'page'").groupBy("page_id").agg(F.first("text").alias("a")).join(
-        scanned.where("kind = 'ocr'").groupBy("page_id").agg(F.first("text").alias("b")), "page_id"
-    )
-    return both.where("a <> b")
+    """(page_id, a, b): two different readings of a page, its text layer and its result, for SAMPLE_PAGES pages drawn by
+    their ids before any text is moved."""
+    scanned = texts.where("scanned and page_id is not null")
+    ids = scanned.where("kind = 'ocr'").select("page_id").intersect(scanned.where("kind = 'page'").select("page_id"))
+    drawn = F.broadcast(ids.orderBy(F.xxhash64("page_id")).limit(SAMPLE_PAGES))
+    mine = scanned.join(drawn, "page_id")
+    both = mine.groupBy("page_id").agg(F.min(F.when(F.col("kind") == "page", F.col("text"))).alias("a"), F.min(F.when(F.col("kind") == "ocr", F.col("text"))).alias("b"))
+    return both.where("a <> b").select("page_id", "a", "b")
 
 
 def _two(a: str, b: str) -> tuple[list[tuple[str, str]], list[str]]:
@@ -299,108 +384,86 @@ def _two(a: str, b: str) -> tuple[list[tuple[str, str]], list[str]]:
     return (list(zip(left, right)) if len(left) == len(right) else []), list((ca & cb).keys())
 
 
-def confusions(read_twice: DataFrame) -> DataFrame:
-    """(printed, read, n) of all confusions seen at least twice, over all pages with two readings; either reading may be the
-    wrong one, so both directions count.  Each side has two characters at most, which bounds the rows."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual: Counter = Counter()
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w, v in _two(a, b)[0]:
-                    for x, y in ((w, v), (v, w)):
-                        places = difference(x, y)
-                        if places and len(places) == 1:
-                            usual[places[0]] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in usual], pa.string()), pa.array([q for _, q in usual], pa.string()), pa.array(list(usual.values()), pa.int64())], names=["printed", "read", "n"]
-        )
-
-    got = read_twice.select("a", "b").mapInArrow(work, "printed string, read string, n long")
-    return got.groupBy("printed", "read").agg(F.sum("n").alias("n")).where("n >= 2")
-
-
-def learn(texts: DataFrame, pairs: DataFrame) -> tuple[dict[tuple[str, str], float], Boosted | None]:
-    """(log frequency of each confusion, trees that rank candidates), from pages with two readings.  The
-    confusions decide which candidates are ranked at all and are counted over all pages; only the trees are fitted on
-    SAMPLE_PAGES of them."""
-    read_twice = materialise(readings(texts), "readings")
-    fetched = read_twice.withColumn("turn", F.xxhash64("page_id")).orderBy("turn").limit(SAMPLE_PAGES).select("a", "b")
+def learn(texts: DataFrame, pairs: DataFrame) -> tuple[Counter, Boosted | None]:
+    """(confusions between readings, trees that rank candidates), both fitted on SAMPLE_PAGES pages with two readings.  Either
+    reading may be the wrong one, so both directions count."""
     differ: Counter = Counter()
     same: set[str] = set()
-    for a, b in fetched.toLocalIterator():
+    usual: Counter = Counter()
+    for _, a, b in readings(texts).toLocalIterator():
         got, both = _two(a, b)
         differ.update(got)
         same.update(both)
-    spark = texts.sparkSession
-    told = [(w, v) for w, v in differ] + [(v, w) for w, v in differ]
-    learned = {(r["printed"], r["read"]): float(np.log1p(r["n"])) for r in confusions(read_twice).toLocalIterator()}
+        for w, v in got:
+            for x, y in ((w, v), (v, w)):
+                places = difference(x, y)
+                if places and len(places) == 1:
+                    usual[places[0]] += 1
+    told: Counter = Counter()
+    for (w, v), n in differ.items():
+        told[w, v] += n
+        told[v, w] += n
     if not told:
-        return learned, None
-    labels = spark.createDataFrame(pd.DataFrame({"w": [w for w, _ in told] + sorted(same), "truth": [v for _, v in told] + [""] * len(same)}))
-    rows = pairs.join(labels.groupBy("w").agg(F.collect_set("truth").alias("truths")), "w").orderBy(F.xxhash64("w", "v")).limit(SAMPLE_ROWS)
-    x, y = [], []
-    fetched_rows = list(rows.toLocalIterator())
+        return usual, None
+    labels = pd.DataFrame({"w": [w for w, _ in told] + sorted(same), "truth": [v for _, v in told] + [""] * len(same)})
+    labels = texts.sparkSession.createDataFrame(labels).groupBy("w").agg(F.collect_set("truth").alias("truths"))
+    rows = list(pairs.join(labels, "w").orderBy(F.xxhash64("w", "v")).limit(SAMPLE_ROWS).toLocalIterator())
     # Where the two readings did not line up, the other reading's word is no candidate and tells nothing.
-    told_of = {r["w"] for r in fetched_rows if r["v"] in r["truths"]}
-    for r in fetched_rows:
+    told_of = {r["w"] for r in rows if r["v"] in r["truths"]}
+    x, y = [], []
+    for r in rows:
         if r["w"] not in told_of and set(r["truths"]) != {""}:
             continue
-        got = features(r["w"], r["v"], r["n_scan"], r["n_clean"], r["n_own"], r["shared"], learned)
-        if got is not None and (got[0] > 0 or got[1] > 0):
-            x.append(got)
-            y.append(float(r["v"] in r["truths"]))
+        places = [tuple(p.split("\t")) for p in r["places"]]
+        # What this pair itself has added to the counts would tell the answer.
+        x.append(features(r["w"], r["v"], places, r["n_scan"], r["n_clean"], r["n_own"], r["sure"], r["support"], usual, told[r["w"], r["v"]]))
+        y.append(float(r["v"] in r["truths"]))
     if len(y) < 50 or not 0 < sum(y) < len(y):
-        return learned, None
-    return learned, Boosted().fit(np.array(x), np.array(y))
+        return usual, None
+    return usual, Boosted(rounds=100, depth=4).fit(np.array(x), np.array(y))
 
 
 def corrections(texts: DataFrame, counted: DataFrame) -> DataFrame:
     """(w, v, score): misread types and the word that was printed, the best-ranked candidate of each."""
-    pairs = materialise(candidates(counted), "candidates")
+    pairs = materialise(supported(materialise(candidates(counted), "candidates")), "supported")
     usual, trees = learn(texts, pairs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            keep, x = [], []
-            for k, (w, v, shared, n_scan, n_own, n_clean) in enumerate(zip(*cols)):
-                got = features(w, v, n_scan, n_clean, n_own, shared, usual)
-                if got is not None and (got[0] > 0 or got[1] > 0):
-                    keep.append(k)
-                    x.append(got)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(8)))
+            x = [features(w, v, [tuple(p.split("\t")) for p in places], n_scan, n_clean, n_own, sure, support, usual) for w, v, n_scan, n_own, n_clean, sure, places, support in rows]
             if trees is not None:
                 score = trees.predict(np.array(x)) if x else np.zeros(0)
             else:  # too few labelled pairs: a known confusion into a far more frequent word
-                score = np.array([0.9 if g[1] > 0 and g[6] > 0.5 else 0.1 for g in x])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([cols[0][k] for k in keep], pa.string()), pa.array([cols[1][k] for k in keep], pa.string()), pa.array(score, pa.float64())], names=["w", "v", "score"]
-            )
+                score = np.array([0.9 if (g[0] > 0 or g[1] > 0) and g[7] > 0.5 else 0.1 for g in x])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["w", "v", "score"])
 
-    scored = pairs.select("w", "v", "shared", "n_scan", "n_own", "n_clean").mapInArrow(work, "w string, v string, score double").where(f"score >= {ACCEPT}")
+    scored = pairs.select("w", "v", "n_scan", "n_own", "n_clean", "sure", "places", "support").mapInArrow(work, "w string, v string, score double").where(f"score >= {ACCEPT}")
     return scored.groupBy("w").agg(F.max_by("v", F.struct("score", "v")).alias("v"), F.max("score").alias("score"))
 
 
 def _mask(found: DataFrame) -> np.ndarray:
-    """The misread types as bits at their hashes: FILTER_BITS in all, whatever their number, put together from one array
-    a partition.  It only thins out records before the exact join."""
+    """The misread types as bits at their hashes, FILTER_SHARE bits a type and FILTER_BITS at most, put together from one
+    array a partition.  It only thins out records before the exact join; fewer bits let more through."""
+    bits = 1 << 16
+    want = min(found.count() * FILTER_SHARE, FILTER_BITS)
+    while bits < want:
+        bits *= 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        mask = np.zeros(bits, bool)
         for batch in batches:
-            bits[_places(batch.column(0).to_pylist())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            mask[_slots(batch.column(0).to_pylist(), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(mask).tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for row in found.select("w").coalesce(16).mapInArrow(work, "bits binary").toLocalIterator():
         out |= np.frombuffer(row[0], np.uint8)
     return out
 
 
-def _places(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(w) & (FILTER_BITS - 1) for w in words), np.int64, len(words))
+def _slots(words: list[str], bits: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) & (bits - 1) for w in words), np.int64, len(words))
 
 
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -424,7 +487,7 @@ def value(numeral: str) -> int:
 
 def page_number(line: str) -> int | None:
     """The number on a line that holds nothing but a page number."""
-    m = _NUMBER.match(line) if len(line) <= 40 else None
+    m = _NUMBER.match(line)
     return value(m.group(1)) if m else None
 
 
@@ -475,21 +538,29 @@ def outer_lines(lines: list[str]) -> list[tuple[str, str, int, list[float]]]:
             flows = float(not near.rstrip("\"”’»)]").endswith((".", "!", "?", "。", "…", ":"))) if near else 0.0
         upper, lower = sum(map(str.isupper, title)), sum(map(str.isalpha, title))
         feats = [
-            float(title[-1] in ".!?。;,:"), float(title[:1].islower()), flows, float(number is not None),
-            upper / max(lower, 1), float(at), float(side), float(title[-1] in MARKS), float(not lower),
+            float(title[-1] in ".!?。;,:"), float(title[:1].islower()), flows, float(number is not None), upper / max(lower, 1), float(at), float(side), float(title[-1] in MARKS),
+            float(not lower), len(title) / max(len(near), 1), float(near[-1:] in ".!?。"),
         ]
-        # A line that reads as running text for certain is no title; only its place among the lines counts.
-        if feats[0] or feats[1]:
-            continue
         out.append((line, title_key(title), -1 if number is None else number, feats))
     return out
 
 
-def own_number(lines: list[str], number: int | None) -> bool:
-    """Whether the page's own number is printed on an outer line, alone or beside a title."""
-    if number is None:
-        return False
-    return any(page_number(x) == number or beside(x)[1] == number for x in {*lines[:2], *lines[-2:]})
+def number_lines(lines: list[str]) -> list[tuple[int, list[float]]]:
+    """(number, features) of the outer lines that hold a number alone or set apart beside a title."""
+    out = {}
+    for k in sorted({*range(min(2, len(lines))), *range(max(len(lines) - 2, 0), len(lines))}):
+        line = lines[k]
+        alone = page_number(line)
+        number = beside(line)[1] if alone is None else alone
+        if number is None or number in out:
+            continue
+        side = float(k >= len(lines) - 2)
+        near = lines[k - 1 if side and k else min(k + 1, len(lines) - 1)]
+        out[number] = [
+            float(alone is None), side, float(min(k, len(lines) - 1 - k)), float(sum(map(str.isdigit, line))), float(sum(not c.isalnum() and c != " " for c in line)) if alone is not None else -1.0,
+            float(sum(map(str.isalpha, line))) if alone is not None else -1.0, float(any(map(str.isdigit, near))), float(page_number(near) is not None), float(near[-1:] in ".!?。"),
+        ]
+    return list(out.items())
 
 
 _END = re.compile(rf"[{MARKS}][ \t]*\n[ \t]*")
@@ -498,78 +569,63 @@ _HEAD = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"[A-Z]\d")
 
 
-def cuts(text: str) -> list[tuple[str, str, str]]:
-    """(left, mark, right) of the words that end a line with a hyphen and may go on in the next."""
+def cuts(text: str) -> list[tuple[str, str, str, float]]:
+    """(left, mark, right, fullness) of the words that end a line with a hyphen and may go on in the next; `fullness` is the
+    length of the line over that of the next."""
     found = []
     for m in _END.finditer(text):
-        start = max(text.rfind("\n", 0, m.start()) + 1, text.rfind(" ", 0, m.start()) + 1)
+        line = text.rfind("\n", 0, m.start()) + 1
+        start = max(line, text.rfind(" ", 0, m.start()) + 1)
         left, right = _TAIL.search(text, start, m.start()), _HEAD.match(text, m.end())
         if left and right:
             a, mark, b = left.group(), text[m.start()], right.group()
             # The second part may begin with a digit read for a letter; a first part of capitals and digits is a code.
             onward = b[0].islower() or len(b) > 2 and b[0].isdigit() and b[1:].isalpha() and b[1:].islower()
             if onward and len(a) > 1 and not a.isupper() and any(map(str.islower, a)) and not _CODE.search(a) or mark != "-" and b[0].isalpha():
-                found.append((a, mark, b))
+                stop = text.find("\n", m.end())
+                after = (len(text) if stop < 0 else stop) - m.end()
+                found.append((a, mark, b, min((m.start() - line) / max(after, 1), 9.0)))
     return found
 
 
-_EVIDENCE = "kind string, id long, pdf_id long, page_id long, what string, a string, b string, mark string, number int, feats array<double>"
+_EVIDENCE = "kind string, id long, page_id long, pdf_id long, own long, what string, a string, b string, mark string, number long, feats array<double>"
 
 
 def evidence(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """One pass over the scanned texts: possible misread types ('m'), cut words ('h'), outer lines ('l'), page numbers ('n')."""
+    """One pass over the scanned texts: possible misread types ('m'), cut words ('h'), outer lines ('l'), numbers on them ('n')."""
     held = texts.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(held.value).astype(bool)
         for batch in batches:
-            kinds, ids, pdfs, pages, numbers = (batch.column(k).to_pylist() for k in range(5))
             rows: list[tuple] = []
             for start, block in tb.blocks(batch, "text", 2_000_000):
                 block = [t or "" for t in block]
                 names, token, owner = types(block)
                 if names:
-                    hit = mask[_places(names)]
+                    hit = mask[_slots(names, len(mask))]
                     mine = np.flatnonzero(hit[token])
                     for k, j in {(int(owner[i]), int(token[i])) for i in mine}:
                         rows.append((start + k, "m", names[j], None, None, None, None))
                 for k, text in enumerate(block, start):
                     if not text or text.isspace():
                         continue
-                    for left, mark, right in set(cuts(text)):
-                        rows.append((k, "h", left, right, mark, None, None))
+                    for left, mark, right, full in cuts(text):
+                        rows.append((k, "h", left, right, mark, None, [full]))
                     solid = _solid(text)
                     for line, key, number, feats in outer_lines(solid):
-                        rows.append((k, "l", line, key, None, number, feats))
-                    if own_number(solid, numbers[k]):
-                        rows.append((k, "n", None, None, None, numbers[k], None))
-            at = [r[0] for r in rows]
+                        if key:
+                            rows.append((k, "l", line, key, None, number, feats))
+                    for number, feats in number_lines(solid):
+                        rows.append((k, "n", None, None, None, number, feats))
+            at = pa.array([r[0] for r in rows], pa.int64())
             col = lambda k, t: pa.array([r[k] for r in rows], t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kinds[k] for k in at], pa.string()), pa.array([ids[k] for k in at], pa.int64()), pa.array([pdfs[k] for k in at], pa.int64()), pa.array([pages[k] for k in at], pa.int64()),
-                 col(1, pa.string()), col(2, pa.string()), col(3, pa.string()), col(4, pa.string()), col(5, pa.int32()), col(6, pa.list_(pa.float64()))],
-                names=["kind", "id", "pdf_id", "page_id", "what", "a", "b", "mark", "number", "feats"],
+                [*(batch.column(k).take(at) for k in range(5)), col(1, pa.string()), col(2, pa.string()), col(3, pa.string()), col(4, pa.string()), col(5, pa.int64()), col(6, pa.list_(pa.float64()))],
+                names=["kind", "id", "page_id", "pdf_id", "own", "what", "a", "b", "mark", "number", "feats"],
             )
 
-    return texts.where("scanned").select("kind", "id", "pdf_id", "page_id", F.col("number").cast("int").alias("number"), "text").mapInArrow(work, _EVIDENCE)
-
-
-def _cut_classifier(counted: DataFrame) -> Boosted:
-    """Trees over (frequency of the joined word, frequency of the compound, lengths), trained on trusted words cut at a
-    place that follows from the word and on trusted compounds cut at their hyphen."""
-    trusted = counted.where(f"n_clean >= {TRUSTED} and length(w) between 5 and 40")
-    x, y = [], []
-    for compound in (False, True):
-        rows = list(trusted.where(F.col("w").contains("-") == compound).select("w", "n_clean").orderBy(F.xxhash64("w")).limit(2000).toLocalIterator())
-        # Compounds are few; they weigh about as much as the words.
-        for k, (w, n) in enumerate(rows * (max(1, 1000 // max(len(rows), 1)) if compound else 1)):
-            at = w.index("-") if compound else 2 + k % (len(w) - 3)
-            right = len(w) - at - compound
-            x.append([0.0 if compound or k % 3 == 0 else np.log1p(n), np.log1p(n) if compound else 0.0, at, right])
-            y.append(0.0 if compound else 1.0)
-    if not x:
-        x, y = [[0.0, 0.0, 4, 4]], [1.0]
-    return Boosted(rounds=30).fit(np.array(x), np.array(y))
+    return texts.where("scanned").select("kind", "id", "page_id", "pdf_id", F.col("number").alias("own"), "text").mapInArrow(work, _EVIDENCE)
 
 
 def _applied(df: DataFrame, model: Boosted, feats: Column, to: str = "score") -> DataFrame:
@@ -584,59 +640,82 @@ def _applied(df: DataFrame, model: Boosted, feats: Column, to: str = "score") ->
     return source.mapInArrow(work, schema)
 
 
-def cut_words(seen: DataFrame, counted: DataFrame) -> DataFrame:
-    """Evidence rows of words that were cut; compounds broken at their own hyphen are left out."""
-    rows = seen.where("what = 'h'").withColumn("joined", F.concat("a", "b")).withColumn("compound", F.concat("a", F.lit("-"), "b"))
-    pairs = rows.select("joined", "compound").distinct()
-    known = counted.where("n_clean > 0").select("w", "n_clean")
-    told = (
-        pairs.join(known.select(F.col("w").alias("joined"), F.col("n_clean").alias("n_joined")), "joined", "left")
-        .join(known.select(F.col("w").alias("compound"), F.col("n_clean").alias("n_compound")), "compound", "left")
-    )
-    x = F.array(F.log1p(F.coalesce("n_joined", F.lit(0))), F.log1p(F.coalesce("n_compound", F.lit(0))), F.length("joined") * 0.5, F.length("joined") * 0.5)
-    scored = _applied(told, _cut_classifier(counted), x).select("joined", "compound", "score")
-    # The marks other than the hyphen are only ever set where a word is cut.
-    return rows.join(scored, ["joined", "compound"]).where(f"score >= {ACCEPT} or mark <> '-'").drop("joined", "compound", "score")
+def _fit(rows: list[tuple[list[float], float]], width: int, least: int = 5) -> Boosted:
+    """Trees over labelled rows; without rows all is accepted, with one label that one."""
+    if not rows:
+        return Boosted().fit(np.zeros((2, width)), np.ones(2))
+    return Boosted(rounds=40, least=least).fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
 
 
-def _title_classifier(lines: DataFrame) -> Boosted:
-    """Trees over an outer line and its neighbours, trained on lines that clearly recur in their file against lines that
-    never do, SAMPLE_ROWS at most."""
-    x, y = [], []
-    for wanted, label in (("n >= 3 and share >= 0.3", 1.0), ("n = 1 and pages >= 6", 0.0)):
-        for row in lines.where(wanted).orderBy(F.xxhash64("kind", "id", "a")).limit(SAMPLE_ROWS // 2).select("feats").toLocalIterator():
-            x.append(row[0])
-            y.append(label)
-    if not x or min(y) == max(y):
-        return Boosted().fit(np.zeros((2, 9)), np.ones(2))
-    return Boosted(rounds=40).fit(np.array(x), np.array(y))
-
-
-def titles(seen: DataFrame, texts: DataFrame) -> DataFrame:
-    """Evidence rows of running titles."""
-    lines = seen.where("what = 'l' and pdf_id is not null and b <> ''")
-    # Counts are partial before the shuffle.  In the joins the counted side has one row a key, so Spark splits a file or a
-    # title with very many lines by itself (adaptive skew joins).
-    recur = lines.select("pdf_id", "b", "page_id").distinct().groupBy("pdf_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    size = texts.where("scanned and pdf_id is not null").select("pdf_id", "page_id").distinct().groupBy("pdf_id").agg(F.count(F.lit(1)).alias("pages"))
-    told = lines.join(recur.join(size, "pdf_id"), ["pdf_id", "b"])
-    told = materialise(told.withColumn("share", F.col("n") / F.col("pages")), "outer-lines")
-    likely = told.where(f"n >= {TITLE_PAGES} and share >= {TITLE_SHARE}")
-    # Recurrence has decided most of it; the classifier takes out what reads as running text.
-    return _applied(likely, _title_classifier(told), F.col("feats")).where(f"score >= {TITLE_ACCEPT}").select(*seen.columns)
+def cut_words(seen: DataFrame, counted: DataFrame) -> DataFrame:
+    """Evidence rows of words that were cut; compounds broken at their own hyphen are left out."""
+    rows = seen.where("what = 'h'")
+    pairs = rows.select("a", "b").distinct()
+    roles = {"joined": F.concat("a", "b"), "compound": F.concat("a", F.lit("-"), "b"), "left": F.col("a"), "right": F.col("b")}
+    each = pairs.select("a", "b", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), w.alias("w")) for r, w in roles.items()])).alias("x")).select("a", "b", "x.*")
+    known = each.join(counted.where("n_clean > 0").select("w", "n_clean"), "w").groupBy("a", "b").agg(*[F.max(F.when(F.col("role") == r, F.col("n_clean"))).alias(f"n_{r}") for r in roles])
+    counts = [F.log1p(F.coalesce(f"n_{r}", F.lit(0))) for r in roles]
+    shape = [F.length("a").cast("double"), F.length("b").cast("double"), (F.col("mark") != "-").cast("double"), F.col("feats")[0]]
+    told = materialise(rows.join(known, ["a", "b"], "left").withColumn("x", F.array(*counts, *shape)), "breaks")
+    sample = []
+    clear = F.when(F.coalesce("n_compound", F.lit(0)) == 0, 1.0).when(F.coalesce("n_joined", F.lit(0)) == 0, 0.0)
+    enough = f"greatest(coalesce(n_joined, 0), coalesce(n_compound, 0)) >= {TRUSTED}"
+    for label in (0.0, 1.0):
+        mine = told.where(enough).where(clear == label)
+        for r in mine.orderBy(F.xxhash64("kind", "id", "a", "b")).limit(SAMPLE_ROWS // 4).select("x").toLocalIterator():
+            sample += [(r[0], label), ([0.0, 0.0, *r[0][2:]], label)]
+    # A line of its own kind: the marks other than the hyphen are set where a word is cut and nowhere else.
+    sample += [([*x[:6], 1.0, x[7]], 1.0) for x, label in sample[: SAMPLE_ROWS // 4] if label]
+    return _applied(told, _fit(sample, 8), F.col("x")).where(f"score >= {ACCEPT}").select(*seen.columns)
+
+
+def page_numbers(seen: DataFrame) -> DataFrame:
+    """Evidence rows of the page's own number.  The classifier is trained on numbers of outer lines, those that are the page's
+    own against all others, SAMPLE_ROWS at most."""
+    rows = seen.where("what = 'n' and own is not null").withColumn("is_own", F.col("number") == F.col("own"))
+    sample = rows.orderBy(F.xxhash64("kind", "id", "number")).limit(SAMPLE_ROWS).select("feats", F.col("is_own").cast("double"))
+    trees = _fit([(list(f), y) for f, y in sample.toLocalIterator()], 9)
+    return _applied(rows.where("is_own").drop("is_own"), trees, F.col("feats")).where(f"score >= {NUMBER_ACCEPT}").drop("score")
+
+
+def titles(seen: DataFrame) -> DataFrame:
+    """Evidence rows of running titles.  The classifier is trained on lines that recur close together against lines that stand
+    once in a larger file, SAMPLE_ROWS at most; recurring lines that close like a sentence or open with a small letter
+    have no sure label and are not trained on."""
+    lines = seen.where("what = 'l' and pdf_id is not null and page_id is not null")
+    each = lines.groupBy("pdf_id", "b", "page_id").agg(F.min("own").alias("own"))
+    recur = each.groupBy("pdf_id", "b").agg(F.count(F.lit(1)).alias("n"), (F.max("own") - F.min("own") + 1).alias("span"))
+    size = each.select("pdf_id", "page_id").distinct().groupBy("pdf_id").agg(F.count(F.lit(1)).alias("pages"))
+    recur = recur.join(size, "pdf_id").withColumn("density", F.col("n") / F.greatest(F.least("pages", F.coalesce("span", "pages")), "n"))
+    recur = materialise(recur.where(f"n >= {TITLE_PAGES} and density >= {TITLE_DENSITY} or n = 1 and pages >= 6"), "recurring")
+    often = recur.where("n > 1").select("pdf_id", "b", "n", "density")
+    # Lines are dealt to as many salts as the most frequent title needs; the titles, which are few, are repeated.
+    salts = int((often.agg(F.max("n")).first()[0] or 0) // TITLE_ROWS) + 1
+    told = lines.withColumn("salt", F.pmod(F.xxhash64("kind", "id", "page_id"), F.lit(salts)))
+    told = told.join(often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["pdf_id", "b", "salt"])
+    told = materialise(told, "outer-lines")
+    drawn = lambda df: df.orderBy(F.xxhash64("kind", "id", "a")).limit(SAMPLE_ROWS // 2)
+    single = F.broadcast(drawn(lines)).join(recur.where("n = 1").select("pdf_id", "b"), ["pdf_id", "b"])
+    # What is known beforehand weighs as a hundred lines of each kind, so that a file that shows only one kind is judged as well:
+    # a line that closes like a sentence is text, one with a number set apart is a title, whatever else holds of them.
+    r = np.random.default_rng(0)
+    sample = [([1.0 - y, 0.0, float(r.integers(2)), y, r.uniform(0.02, 1), float(r.integers(2)), float(r.integers(2)), 0.0, 0.0, r.uniform(0.1, 3), float(r.integers(2))], y) for y in (0.0, 1.0) for _ in range(100)]
+    sample += [(r[0], y) for df, y in ((drawn(told.where("density >= 0.3 and feats[0] = 0 and feats[1] = 0")), 1.0), (single, 0.0)) for r in df.select("feats").toLocalIterator()]
+    return _applied(told, _fit(sample, 11, least=20), F.col("feats")).where(f"score >= {TITLE_ACCEPT}").select(*seen.columns)
 
 
 def decisions(ocr_results: DataFrame, pdf_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scanned texts, decided evidence).  Evidence: kind, id, noise, a, b; for misreads a was read and b was printed, for
+    """(texts, decided evidence).  Evidence: kind, id, noise, a, b; for misreads a was read and b was printed, for
     cut words a and b are the parts, for titles a is the line, for page numbers the number stands in `a`."""
-    texts = materialise(records(ocr_results, pdf_pages), "texts")
+    texts = records(ocr_results, pdf_pages)
     counted = materialise(count_types(texts), "types")
     fixes = materialise(corrections(texts, counted), "corrections")
     seen = materialise(evidence(texts, _mask(fixes)), "evidence")
+    outer = materialise(placed(seen.where("what in ('l', 'n')"), pdf_pages), "outer")
     misread = seen.where("what = 'm'").select("kind", "id", F.col("a").alias("w")).join(fixes, "w").select("kind", "id", F.lit("misread").alias("noise"), F.col("w").alias("a"), F.col("v").alias("b"))
     cut = cut_words(seen, counted).select("kind", "id", F.lit("hyphenation").alias("noise"), "a", "b")
-    title = titles(seen, texts).select("kind", "id", F.lit("header").alias("noise"), "a", "b")
-    number = seen.where("what = 'n'").select("kind", "id", F.lit("page_number").alias("noise"), F.col("number").cast("string").alias("a"), "b")
+    title = titles(outer).select("kind", "id", F.lit("header").alias("noise"), "a", "b")
+    number = page_numbers(outer).select("kind", "id", F.lit("page_number").alias("noise"), F.col("number").cast("string").alias("a"), "b")
     return texts, misread.unionByName(cut).unionByName(title).unionByName(number)
 
 
