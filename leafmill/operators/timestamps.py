@@ -1,8 +1,10 @@
 """Instants written in many notations and zones, brought to one UTC instant.
 
 Every text is read under each notation that fits it (all in JVM expressions).  The only readings that can compete for
-one text are orders of day and month and, for bare digits, counts of seconds against packed calendar digits.  Which one
+one text are orders of day and month and, for twelve bare digits, milliseconds against packed calendar digits.  Which one
 holds is decided per source by expectation-maximisation over the mixture of notations, see :func:`format_posteriors`.
+A site's documented order of day and month rules the other one out, as the statement of the data requires; with
+``site_rule=False`` it is a weak prior that the values themselves can overrule.
 
 Defined results
 ---------------
@@ -46,7 +48,10 @@ ZONES = {
     "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600, "BRT": -180, "ART": -180,
 }
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-READINGS = ("dmy", "mdy", "ymd", "fixed", "count", "packed")
+READINGS = ("dmy", "mdy", "fixed", "count", "packed")
+#: Seconds (1985 to 2100) outside which a reading is unlikely: the files were not written then.
+PLAUSIBLE = (473_385_600, 4_102_444_800)
+UNLIKELY = 0.01
 
 _ZONE = (
     r"(?:(Z|[A-Z]{2,5})(?:00'?:?00'?)?|(?:UTC|GMT)?([+-])(\d{2})[:']?(\d{2})'?)?"
@@ -116,14 +121,15 @@ def with_readings(values: DataFrame, text: str, to: str = "_r") -> DataFrame:
     """
     t = F.col("_t")
     df = values.withColumn("_t", F.trim(F.regexp_replace(F.col(text), "[\\u00a0\\u2007\\u2009\\u202f\\u3000]", " ")))
-    shape = F.when(t.rlike(_COUNT), "count").when(t.rlike(_SERIAL), "serial")
+    # Twelve digits may be a count or a date and time; both are read.
+    shape = F.when(t.rlike(r"^\d{12}$") & t.rlike(_ISO), "iso").when(t.rlike(_COUNT), "count").when(t.rlike(_SERIAL), "serial")
     for name, (pattern, _) in _SHAPES.items():
         shape = shape.when(t.rlike(pattern), name)
     df = df.withColumn("_shape", shape)
-    taken = F.when(F.col("_shape") == "count", F.regexp_replace(t, _COUNT, "$1"))
+    taken = F.lit(None).cast("string")
     for name, (pattern, groups) in _SHAPES.items():
         to_text = "|".join(f"${k}" if k else "" for k in groups)
-        taken = taken.when(F.col("_shape") == name, F.regexp_replace(t, pattern, to_text))
+        taken = F.when(F.col("_shape") == name, F.regexp_replace(t, pattern, to_text)).otherwise(taken)
     df = df.withColumn("_f", F.split(taken, "\\|"))
     part = lambda k: F.when(F.size("_f") == 11, F.col("_f")[k])
     number = lambda k: F.when(part(k).rlike("^[0-9]{1,4}$"), part(k).cast("int"))
@@ -142,7 +148,7 @@ def with_readings(values: DataFrame, text: str, to: str = "_r") -> DataFrame:
         number(5).alias("_ss"),
         F.when(part(8) != "", offset).when(part(7) != "", F.try_element_at(table, part(7))).alias("_zone"),
         F.coalesce(part(7) != "", F.lit(False)).alias("_named"),
-        F.when(F.size("_f") == 1, F.col("_f")[0].cast("long")).alias("_n"),
+        F.when(t.rlike(_COUNT), F.regexp_replace(t, _COUNT, "$1").cast("long")).alias("_n"),
     )
     clock = (F.col("_hh"), F.col("_mm"), F.col("_ss"))
     serial = F.round((F.regexp_replace(t, ",", ".").cast("decimal(30,15)") - 25569) * 86400, 0).cast("long")
@@ -158,7 +164,6 @@ def with_readings(values: DataFrame, text: str, to: str = "_r") -> DataFrame:
         (F.col("_zone").isNull() & F.col("_named")).alias("bad_zone"),
         F.when(kind == "num", F.col("_ymd")).alias("dmy"),
         F.col("_ydm").alias("mdy"),
-        F.lit(None).cast("long").alias("ymd"),
         # Day numbers count from 1899-12-30, which is 25569 days before 1970-01-01.
         F.when(kind == "serial", serial).when((kind != "num") & ~packed, F.col("_ymd")).alias("fixed"),
         F.when(F.length(F.abs("_n").cast("string")) >= 12, F.floor(F.col("_n") / 1000)).otherwise(F.col("_n")).cast("long").alias("count"),
@@ -167,27 +172,38 @@ def with_readings(values: DataFrame, text: str, to: str = "_r") -> DataFrame:
     return df.withColumn(to, reading).drop("_t", "_shape", "_y", "_m", "_d", "_hh", "_mm", "_ss", "_zone", "_named", "_n", "_ymd", "_ydm")
 
 
-def format_posteriors(patterns: DataFrame, order_weight: float = 1e6, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+def masks(reading: str = "_r") -> Column:
+    """The readings of a value in one number: bit k where ``READINGS[k]`` is valid, and bit k + len(READINGS) where it is valid
+    but outside PLAUSIBLE."""
+    bits = F.lit(0)
+    for k, name in enumerate(READINGS):
+        at = F.col(f"{reading}.{name}")
+        bits = bits + at.isNotNull().cast("int") * (1 << k) + F.when(~at.between(*PLAUSIBLE), 1 << (k + len(READINGS))).otherwise(0)
+    return bits
+
+
+def format_posteriors(patterns: DataFrame, order_weight: float = 5.0, rounds: int = 500, tolerance: float = 1e-10, site_rule: bool = True) -> DataFrame:
     """Expectation-maximisation over the mixture of notations of each source.
 
-    ``patterns``: (source string, site_order string?, mask int, n long), one row for each source and set of readings
-    that are valid (bit k: ``READINGS[k]``), so a source has at most 2**6 rows however many values it holds.  A value
-    under a valid reading has likelihood 1, under another 0; the mixture weights are the format shares of the source.
-    The order of day and month that a site is documented to use enters as ``order_weight`` pseudo-observations, and
-    excludes the other order.  Returns (source, mask, choice string?, posterior double): the likeliest reading and its
-    posterior probability for values with that mask.
+    ``patterns``: (source string, site_order string?, mask int, n long), one row for each source and mask (see
+    :func:`masks`), so a source has a bounded number of rows however many values it holds.  A value has likelihood 1 under
+    a valid reading, UNLIKELY under one outside PLAUSIBLE and 0 under others; the mixture weights are the format shares of
+    the source.  The order of day and month that a site is documented to use enters as ``order_weight`` pseudo-observations
+    and, under ``site_rule``, excludes the other order.  Returns (source, mask, choice string?, posterior double): the
+    likeliest reading and its posterior probability for values with that mask.
     """
+    count = len(READINGS)
 
     def em(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        masks = rows["mask"].to_numpy(np.int64)
-        valid = (masks[:, None] >> np.arange(len(READINGS))) & 1
+        seen = rows["mask"].to_numpy(np.int64)
+        valid = (seen[:, None] >> np.arange(count)) & 1
+        like = valid * np.where((seen[:, None] >> np.arange(count, 2 * count)) & 1, UNLIKELY, 1.0)
         order = next((o for o in rows["site_order"] if isinstance(o, str)), None)
-        like = valid.astype(float)
+        prior = np.full(count, 0.5)
         if order in ("dmy", "mdy"):
-            like[:, READINGS.index("mdy" if order == "dmy" else "dmy")] = 0.0
-        prior = np.full(len(READINGS), 0.5)
-        if order in READINGS:
             prior[READINGS.index(order)] += order_weight
+            if site_rule:
+                like[:, READINGS.index("mdy" if order == "dmy" else "dmy")] = 0.0
         n = rows["n"].to_numpy(float)[:, None]
         share = prior / prior.sum()
         for _ in range(rounds):
@@ -201,14 +217,7 @@ def format_posteriors(patterns: DataFrame, order_weight: float = 1e6, rounds: in
             if done:
                 break
         best = post.argmax(1)
-        return pd.DataFrame(
-            {
-                "source": rows["source"],
-                "mask": rows["mask"],
-                "choice": [READINGS[k] if p[k] > 0 else None for k, p in zip(best, post)],
-                "posterior": post.max(1),
-            }
-        )
+        return pd.DataFrame({"source": rows["source"], "mask": rows["mask"], "choice": [READINGS[k] if p[k] > 0 else None for k, p in zip(best, post)], "posterior": post.max(1)})
 
     return patterns.groupBy("source").applyInPandas(em, "source string, mask int, choice string, posterior double")
 
@@ -231,8 +240,9 @@ def normalise_timestamps(
     source: str = "source",
     site: str = "site_id",
     certainty: float = 0.95,
+    site_rule: bool = True,
 ) -> DataFrame:
-    """Add ``utc_seconds`` (long?), ``utc`` (string?), ``status`` and ``posterior`` to `values`.
+    """Add ``utc_seconds`` (long?), ``utc`` (string?), ``status``, ``reading`` (string?) and ``posterior`` to `values`.
 
     `sites` has one row a site: site_id, tz (IANA), date_order.  It is a dimension table; Spark broadcasts it if its
     size allows and shuffles it otherwise.  Repeated site rows are reduced to one; unknown zones count as no site.
@@ -244,19 +254,20 @@ def normalise_timestamps(
         .groupBy("_site").agg(F.min_by("_tz", F.struct("_tz", "_order")).alias("_tz"), F.min_by("_order", F.struct("_tz", "_order")).alias("_order"))
     )
     read = with_readings(values, text)
-    mask = sum((F.col(f"_r.{name}").isNotNull().cast("int") * (1 << k) for k, name in enumerate(READINGS)), F.lit(0))
-    read = read.join(place, read[site] == place["_site"], "left").drop("_site").withColumn("_mask", mask)
+    read = read.join(place, read[site] == place["_site"], "left").drop("_site")
     # Filters on computed columns would be pushed below their whole definition; a written table keeps the plan small and
     # the parse is done once for the statistics and the values.
     # Different notations of one source do not inform each other's readings beyond the mixture weights kept per source.
     read = read.withColumn("_source", F.concat_ws("\u001f", F.col(source), F.coalesce(F.col(site).cast("string"), F.lit("?"))))
-    read = materialise(read, "readings")
+    read = materialise(read, "readings").withColumn("_mask", masks())
     patterns = (
         read.where("_mask > 0")
         .groupBy(F.col("_source").alias("source"), F.col("_mask").alias("mask"))
         .agg(F.min("_order").alias("site_order"), F.count(F.lit(1)).alias("n"))
     )
-    post = format_posteriors(patterns).select(F.col("source").alias("_source"), F.col("mask").alias("_mask"), F.col("choice").alias("_choice"), "posterior")
+    # Written as well, so that Spark knows how small it is: the values are not moved to meet it unless it is large.
+    post = materialise(format_posteriors(patterns, site_rule=site_rule), "posteriors")
+    post = post.select(F.col("source").alias("_source"), F.col("mask").alias("_mask"), F.col("choice").alias("_choice"), "posterior")
     both = read.join(post, ["_source", "_mask"], "left")
     wall = F.coalesce(*[F.when(F.col("_choice") == name, F.col(f"_r.{name}")) for name in READINGS if name != "count"])
     zone = F.col("_r.zone")
@@ -282,11 +293,11 @@ def normalise_timestamps(
     seconds = F.when(F.col("_choice") == "count", F.col("_r.count")).when(zone.isNotNull(), F.col("_wall") - zone * 60).otherwise(F.col("_local.at"))
     out = both.withColumn("status", status).withColumn("utc_seconds", F.when(F.col("status") == "ok", seconds))
     utc = F.date_format(F.timestamp_seconds("utc_seconds"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return out.withColumn("utc", utc).drop("_r", "_mask", "_source", "_choice", "_wall", "_local", "_tz", "_order")
+    return out.withColumn("utc", utc).withColumnRenamed("_choice", "reading").drop("_r", "_mask", "_source", "_wall", "_local", "_tz", "_order")
 
 
-def found_instants(pdf_documents: DataFrame, pptx_files: DataFrame, sites: DataFrame) -> DataFrame:
-    """(file_kind, file_id, field_name, utc) of every value that names one instant and is not yet in canonical form."""
+def field_values(pdf_documents: DataFrame, pptx_files: DataFrame) -> DataFrame:
+    """(file_kind, file_id, site_id, field_name, value, source) of the four fields, each distinct value of a file once."""
     parts = []
     for kind, df, key, fields in (
         ("pdf", pdf_documents, "pdf_id", ("creation_date", "modification_date")),
@@ -295,9 +306,34 @@ def found_instants(pdf_documents: DataFrame, pptx_files: DataFrame, sites: DataF
         pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("p")
         parts.append(df.select(F.lit(kind).alias("file_kind"), F.col(key).alias("file_id"), "site_id", pairs).select("file_kind", "file_id", "site_id", "p.*"))
     values = parts[0].unionByName(parts[1]).where(F.col("value").isNotNull()).distinct()
-    values = values.withColumn("source", F.concat_ws("/", "file_kind", "field_name"))
-    done = materialise(normalise_timestamps(values, sites), "instants")
+    return values.withColumn("source", F.concat_ws("/", "file_kind", "field_name"))
+
+
+def found_instants(pdf_documents: DataFrame, pptx_files: DataFrame, sites: DataFrame) -> DataFrame:
+    """(file_kind, file_id, field_name, utc) of every value that names one instant and is not yet in canonical form."""
+    # A filter on the status would be pushed below its whole definition and repeat it; it reads the written result instead.
+    done = materialise(normalise_timestamps(field_values(pdf_documents, pptx_files), sites), "instants")
     return (
         done.where((F.col("status") == "ok") & ~F.trim(F.col("value")).rlike(CANONICAL))
         .select("file_kind", "file_id", "field_name", "utc").distinct()
     )
+
+
+def inferred_orders(values: DataFrame) -> DataFrame:
+    """(file_kind, field_name, site_id, n_values, n_dmy, n_mdy, order, posterior) of the sources with dates in figures: the
+    order of day and month as the values alone tell it.  ``order`` is null where the posterior stays below 0.95."""
+    read = materialise(with_readings(values.select("file_kind", "field_name", "site_id", "value"), "value").drop("value"), "orders")
+    read = read.select("file_kind", "field_name", "site_id", masks().alias("mask"), F.col("_r.shape").alias("shape"), F.col("_r.dmy").isNotNull().alias("dmy"), F.col("_r.mdy").isNotNull().alias("mdy"))
+    read = read.where("shape = 'num' and (dmy or mdy)")
+    key = F.concat_ws("/", "file_kind", "field_name", F.coalesce(F.col("site_id").cast("string"), F.lit("?"))).alias("source")
+    patterns = read.groupBy("file_kind", "field_name", "site_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.first("dmy").alias("dmy"), F.first("mdy").alias("mdy"))
+    post = format_posteriors(patterns.select(key, F.lit(None).cast("string").alias("site_order"), "mask", "n"))
+    told = patterns.withColumn("source", key).join(post, ["source", "mask"])
+    only = lambda a, b: F.sum(F.when(F.col(a) & ~F.col(b), F.col("n")).otherwise(0))
+    both = F.col("dmy") & F.col("mdy")
+    got = told.groupBy("file_kind", "field_name", "site_id").agg(
+        F.sum("n").alias("n_values"), only("dmy", "mdy").alias("n_dmy"), only("mdy", "dmy").alias("n_mdy"), F.max(F.when(both, F.struct("posterior", "choice"))).alias("top")
+    )
+    return got.select(
+        "file_kind", "field_name", "site_id", "n_values", "n_dmy", "n_mdy", F.when(F.col("top.posterior") >= 0.95, F.col("top.choice")).alias("order"), F.round("top.posterior", 4).alias("posterior")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.timestamps import MONTHS, ZONES, found_instants, normalise_timestamps
+from leafmill.operators.timestamps import MONTHS, ZONES, field_values, found_instants, inferred_orders, normalise_timestamps
 from leafmill.session import table
 
 
@@ -14,13 +14,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many distinct values of the presentation files are settled, and why the others are not."""
-    pptx = table(spark, sf_dir, "pptx_files")
-    values = pptx.select("pptx_id", "site_id", F.col("created").alias("value"), F.lit("pptx/created").alias("source")).distinct()
-    return normalise_timestamps(values, table(spark, sf_dir, "sites")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Per field how many of its distinct values there are and how many name one instant."""
+    values = field_values(table(spark, sf_dir, "pdf_documents"), table(spark, sf_dir, "pptx_files"))
+    done = normalise_timestamps(values, table(spark, sf_dir, "sites"))
+    return done.groupBy("file_kind", "field_name").agg(F.count(F.lit(1)).alias("n_values"), F.count("utc").alias("n_settled"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_status": p2_status}
+def p2_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of day and month of each field and site, inferred from the values without the documented order."""
+    return inferred_orders(field_values(table(spark, sf_dir, "pdf_documents"), table(spark, sf_dir, "pptx_files")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_status": p2_status, "p2_orders": p2_orders}
 
 # The SQL reads the notations one by one and looks for the instants of a wall clock at the zone's offsets a day before and
 # a day after; it shares nothing with the operator but the tables of month names and zones.
@@ -59,8 +64,7 @@ _TEXTS = " UNION ".join(
     for kind, name, key, fields in (("pdf", "pdf_documents", "pdf_id", ("creation_date", "modification_date")), ("pptx", "pptx_files", "pptx_id", ("created", "modified")))
     for field in fields
 )
-SQL: dict[str, str] = {
-    "p2_found": f"""WITH v AS (SELECT file_kind, file_id, field_name, value, trim(value) AS t, tz, date_order FROM ({_TEXTS}) LEFT JOIN sites USING (site_id) WHERE value IS NOT NULL),
+_INSTANTS = f"""WITH v AS (SELECT file_kind, file_id, site_id, field_name, value, trim(value) AS t, tz, date_order FROM ({_TEXTS}) LEFT JOIN sites USING (site_id) WHERE value IS NOT NULL),
         w AS (SELECT *, epoch(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y::INT, m::INT, d::INT, CASE WHEN half = '' THEN hh::INT WHEN half IN ('P', '오후') THEN hh::INT % 12 + 12 ELSE hh::INT % 12 END, mm::INT,
             CASE WHEN ss = '' THEN 0 ELSE ss::INT END) AS TIMESTAMP))::BIGINT AS wall FROM ({_parts()}) WHERE m IS NOT NULL),
         z AS (SELECT *, CASE WHEN zone = '' THEN NULL WHEN regexp_matches(zone, '^[+-]') THEN CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END * (zone[2:3]::INT * 60 + regexp_replace(zone, '[^0-9+-]', '', 'g')[4:5]::INT)
@@ -72,7 +76,21 @@ SQL: dict[str, str] = {
             UNION ALL SELECT file_kind, file_id, field_name, value, CASE WHEN ok1 THEN c1 ELSE c2 END FROM (SELECT *, {_LOCAL.format('c1')} = wall AS ok1, {_LOCAL.format('c2')} = wall AND c1 <> c2 AS ok2 FROM l)
                 WHERE ok1 <> ok2
             UNION ALL SELECT file_kind, file_id, field_name, value, CASE WHEN length(n) > 11 THEN try_cast(n AS BIGINT) // 1000 ELSE try_cast(n AS BIGINT) END FROM (SELECT *, regexp_extract(t, '^(?:/Date[(])?([0-9]{{10}}|[0-9]{{13}})(?:[+-][0-9]{{4}}[)]/)?$', 1) AS n FROM v)
-                WHERE n <> '')
+                WHERE n <> '')"""  # noqa: E501
+_DIGITS = r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{4},? +\d{1,2}:\d{2}"
+SQL: dict[str, str] = {
+    "p2_found": f"""{_INSTANTS}
         SELECT DISTINCT file_kind, file_id, field_name, strftime(make_timestamp(moment * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM u
         WHERE moment IS NOT NULL AND NOT regexp_matches(trim(value), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$')""",
+    "p2_status": f"""{_INSTANTS}
+        SELECT file_kind, field_name, count(*) AS n_values, count(moment) AS n_settled FROM (SELECT DISTINCT file_kind, file_id, site_id, field_name, value FROM v)
+        LEFT JOIN (SELECT DISTINCT file_kind, file_id, field_name, value, moment FROM u WHERE moment IS NOT NULL) USING (file_kind, file_id, field_name, value) GROUP BY ALL""",
+    # Where values of two readings share their weight in proportion, the fixed point of expectation and maximisation has a closed form.
+    "p2_orders": f"""WITH d AS (SELECT file_kind, field_name, site_id, regexp_extract(trim(value), '{_DIGITS}', 1)::INT AS a, regexp_extract(trim(value), '{_DIGITS}', 2)::INT AS b
+            FROM ({_TEXTS}) WHERE regexp_matches(trim(value), '{_DIGITS}')),
+        c AS (SELECT file_kind, field_name, site_id, count(*) AS n_values, count(*) FILTER (b > 12) AS n_mdy, count(*) FILTER (a > 12) AS n_dmy, count(*) FILTER (a <= 12 AND b <= 12) AS n_both
+            FROM d WHERE least(a, b) BETWEEN 1 AND 12 GROUP BY ALL),
+        p AS (SELECT *, (0.5 + n_dmy) / (1.0 + n_dmy + n_mdy) AS dmy FROM c)
+        SELECT file_kind, field_name, site_id, n_values, n_dmy::BIGINT AS n_dmy, n_mdy::BIGINT AS n_mdy, CASE WHEN n_both = 0 OR greatest(dmy, 1 - dmy) < 0.95 THEN NULL WHEN dmy > 0.5 THEN 'dmy' ELSE 'mdy' END AS "order",
+            CASE WHEN n_both > 0 THEN round(greatest(dmy, 1 - dmy), 4) END AS posterior FROM p""",
 }

@@ -95,6 +95,32 @@ def test_wall_clocks_against_zoneinfo(spark):
             assert r["first"] == at, r
 
 
+def test_twelve_digits_are_read_by_their_source(spark, sites):
+    """Milliseconds and packed digits compete; the year speaks, and where both years are likely, the rest of the source."""
+    rows = [(1, "202401011230", "a"), (2, "1704110000000", "a"), (3, "202401321230", "a")]
+    rows += [(10 + k, "700000000000", "b") for k in range(3)] + [(20 + k, f"202401{k + 10}123000", "b") for k in range(18)]
+    rows += [(90, "198512011230", "c"), (91, "701210112233", "d")] + [(100 + k, f"17041{k:02}000000", "d") for k in range(40)]
+    df = spark.createDataFrame([(k, v, s, 2) for k, v, s in rows], "k int, value string, source string, site_id int")
+    got = {r["k"]: r for r in t.normalise_timestamps(df, sites).collect()}
+    assert (got[1]["utc"], got[1]["reading"], got[1]["status"]) == ("2024-01-01T11:30:00Z", "packed", "ok") and 0.95 < got[1]["posterior"] < 1
+    assert got[2]["reading"] == "count" and got[3]["reading"] == "count"  # no 32nd of January: one reading is left
+    assert got[10]["reading"] == "count" and got[20]["reading"] == "packed"
+    assert got[91]["reading"] == "count" and got[91]["status"] == "ok"
+
+
+def test_inferred_order_reaches_the_instant(spark, sites):
+    """A site without a documented order: the mixture of its values decides, and a source that tells nothing stays open."""
+    place = spark.createDataFrame([(1, "UTC", None), (2, "UTC", None), (3, "UTC", "dmy")], "site_id int, tz string, date_order string")
+    rows = [(k, 1, f"12/{k + 13}/2024 10:00:00") for k in range(15)] + [(50, 1, "03/04/2024 10:00:00"), (60, 2, "03/04/2024 10:00:00"), (70, 3, "03/04/2024 10:00:00")]
+    rows += [(80 + k, 3, f"12/{k + 13}/2024 10:00:00") for k in range(15)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "k int, site_id int, value string, source string")
+    got = {r["k"]: (r["utc"], r["status"]) for r in t.normalise_timestamps(df, place, certainty=0.9).collect()}
+    assert got[50] == ("2024-03-04T10:00:00Z", "ok") and got[60] == (None, "ambiguous_format")
+    assert got[70] == ("2024-04-03T10:00:00Z", "ok") and got[80] == (None, "no_such_date")  # the site's order is a rule
+    free = {r["k"]: (r["utc"], r["status"]) for r in t.normalise_timestamps(df, place, certainty=0.7, site_rule=False).collect()}
+    assert free[70] == ("2024-03-04T10:00:00Z", "ok") and free[80][1] == "ok"  # unless it is only a prior
+
+
 def test_order_is_learnt_where_no_site_tells(spark):
     """Without a documented order the mixture weights of the source decide, and without evidence nothing does."""
     mdy = 1 << t.READINGS.index("mdy")
