@@ -16,7 +16,16 @@ from leafmill.session import materialise
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
-def numbered(df: DataFrame, keys: list[str], to: str = "row", slices: int = 200) -> DataFrame:
+#: Rows of one slice where rows are numbered, and rows of one block of a sheet's text.
+SLICE_ROWS, BLOCK_ROWS = 2_000_000, 10_000
+
+
+def slices(df: DataFrame) -> int:
+    """How many slices of about SLICE_ROWS rows `df` needs, and as many as the session's shuffles have at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+
+
+def numbered(df: DataFrame, keys: list[str], to: str = "row") -> DataFrame:
     """`df` with the ordinal of each row in the order of `keys`, from 0.
 
     Rows are sorted by range partitioning and numbered within their slice; the sizes of the slices, one row each, give
@@ -25,15 +34,14 @@ def numbered(df: DataFrame, keys: list[str], to: str = "row", slices: int = 200)
     Ties are ordered by all columns; equal rows are interchangeable.
     """
     order = [F.col(k) for k in keys] + [F.col(c) for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType.jsonValue(), dict)]
-    n = min(slices, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(n, *[F.col(k) for k in keys]).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(slices(df), *[F.col(k) for k in keys]).sortWithinPartitions(*order)
     # monotonically_increasing_id holds the slice in its upper bits and the place within it in the lower 33.
     placed = materialise(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("_slice", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # There are `n` offsets at most.
+    # There is one offset a slice.
     return placed.join(F.broadcast(offsets), "_slice").withColumn(to, F.col("_off") + F.col("_at")).drop("_slice", "_id", "_at", "_off")
 
 
@@ -76,10 +84,19 @@ def row_texts(cells: DataFrame, keep_empty: bool = False, closing: bool = False)
     return got if keep_empty else got.where("line <> ''")
 
 
-def sheet_texts(cells: DataFrame) -> DataFrame:
-    """(workbook, sheet, text): the lines of a sheet in order, each closed by a line feed.  A text holds one sheet."""
+def text_blocks(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, block, text): the lines of a sheet in order, each closed by a line feed, BLOCK_ROWS rows a block.  A
+    block is the most that one task holds, however long the sheet."""
     rows = F.array_sort(F.collect_list(F.struct("row", "line")))
-    return row_texts(cells).groupBy("workbook", "sheet").agg(F.concat(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))
+    lines = row_texts(cells).withColumn("block", F.floor(F.col("row") / BLOCK_ROWS))
+    return lines.groupBy("workbook", "sheet", "block").agg(F.concat(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def sheet_texts(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, text): the blocks of a sheet put together.  The text is one value, so a sheet must fit in one, as sheets
+    of the file format with its 1,048,576 rows do; `text_blocks` is for longer tables."""
+    blocks = F.array_sort(F.collect_list(F.struct("block", "text")))
+    return text_blocks(cells).groupBy("workbook", "sheet").agg(F.array_join(F.transform(blocks, lambda b: b["text"]), "").alias("text"))
 
 
 def search(cells: DataFrame, term: str) -> DataFrame:
@@ -116,10 +133,16 @@ def chunks(df: DataFrame, size: int, row: str = "row") -> DataFrame:
 
 
 def progress(chunk_rows: DataFrame, elapsed: Column | None = None) -> DataFrame:
-    """(chunk, rows) with processed, total, percentage and, with `elapsed` seconds, eta.  There is a row a chunk, so the
-    window runs over chunks, not over rows."""
-    run = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    got = chunk_rows.withColumn("processed", F.sum("rows").over(run)).withColumn("total", F.sum("rows").over(Window.partitionBy()))
+    """(chunk, rows) with processed, total, percentage and, with `elapsed` seconds, eta.  Chunks are summed within slices of
+    their range, and the sums of the slices, one row each, give what came before; no task holds all chunks."""
+    placed = chunk_rows.repartitionByRange(slices(chunk_rows), "chunk").withColumn("_slice", F.spark_partition_id())
+    placed = materialise(placed, "progress")
+    sizes = placed.groupBy("_slice").agg(F.sum("rows").alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    run = Window.partitionBy("_slice").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    got = placed.join(F.broadcast(offsets), "_slice").withColumn("processed", F.col("_off") + F.sum("rows").over(run))
+    got = got.withColumn("total", sizes.agg(F.sum("_n")).scalar()).drop("_slice", "_off")
     got = got.withColumn("percentage", F.round(F.lit(100.0) * F.col("processed") / F.col("total"), 4))
     if elapsed is not None:
         got = got.withColumn("eta", F.when((F.col("percentage") > 0) & (elapsed > 0), (F.lit(100.0) - F.col("percentage")) * elapsed / F.col("percentage")))

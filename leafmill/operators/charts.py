@@ -25,15 +25,20 @@ KINDS = {
 
 
 def series_data(cells: DataFrame, name: str, data_range: str, category_range: str | None = None) -> DataFrame:
-    """(series, ordinal, category, value): values and categories paired by their place in their ranges."""
+    """(workbook, sheet, series, ordinal, category, value): values and categories paired, workbook by workbook, by their place in
+    their ranges.  Without a sheet in a range each sheet has a series of its own, and the categories are of the same sheet."""
     def column(ref: str, to: str) -> DataFrame:
         box = parse(ref)
         place = (F.col("row") - box.row) * (box.end_col - box.col + 1) + (F.col("col") - box.col)
-        return cells.where(in_range(box)).select(place.cast("long").alias("ordinal"), F.col("value").alias(to))
+        return cells.where(in_range(box)).select("workbook", "sheet", place.cast("long").alias("ordinal"), F.col("value").alias(to))
 
     values = column(data_range, "value")
-    got = values.join(column(category_range, "category"), "ordinal", "left") if category_range else values.withColumn("category", (F.col("ordinal") + 1).cast("string"))
-    return got.select(F.lit(name).alias("series"), "ordinal", "category", number(F.col("value")).alias("value"))
+    keys = ["workbook", "ordinal"] + (["sheet"] if not (category_range and parse(category_range).sheet) else [])
+    categories = column(category_range, "category") if category_range else None
+    if categories is not None and "sheet" not in keys:
+        categories = categories.drop("sheet")
+    got = values.join(categories, keys, "left") if categories is not None else values.withColumn("category", (F.col("ordinal") + 1).cast("string"))
+    return got.select("workbook", "sheet", F.lit(name).alias("series"), "ordinal", "category", number(F.col("value")).alias("value"))
 
 
 def drawn(data: DataFrame, kind: str) -> DataFrame:

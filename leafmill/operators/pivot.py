@@ -154,9 +154,10 @@ def show_as(long: DataFrame, value: str, mode: str, rows: list[str], columns: li
     else:
         base = F.lag(v).over(over(others).orderBy(base_field))
     total = F.sum(v)
+    grand = long.agg(total.alias("total")).scalar()  # one value, not a window over everything
     table = {
         "Normal": lambda: v,
-        "PercentOfGrandTotal": lambda: share(total.over(over([]))),
+        "PercentOfGrandTotal": lambda: share(grand),
         "PercentOfColumnTotal": lambda: share(total.over(over(columns))),
         "PercentOfRowTotal": lambda: share(total.over(over(rows))),
         "PercentOf": lambda: share(base),
@@ -166,7 +167,7 @@ def show_as(long: DataFrame, value: str, mode: str, rows: list[str], columns: li
         "PercentOfParentRowTotal": lambda: share(total.over(over(rows[:-1] + columns))),
         "PercentOfParentColumnTotal": lambda: share(total.over(over(rows + columns[:-1]))),
         "PercentOfParentTotal": lambda: share(total.over(over(rows[:1] + columns))),
-        "Index": lambda: F.try_divide(v * total.over(over([])), total.over(over(rows)) * total.over(over(columns))),
+        "Index": lambda: F.try_divide(v * grand, total.over(over(rows)) * total.over(over(columns))),
     }
     return long.withColumn(to, table[mode]())
 
@@ -183,7 +184,9 @@ def above_average(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def sort_key(item: Column, order: str | list) -> Column:
-    """Ascending, Descending, Manual (as it is) or a list in its order, what is not in it last."""
+    """Ascending, Descending, Manual (all alike, so that the order stays as it is) or a list in its order, what is not in it last."""
+    if order == "Manual":
+        return F.lit(0)
     if isinstance(order, list):
         at = F.array_position(F.array(*[F.lit(x) for x in order]), item)
         return F.when(at > 0, at).otherwise(F.lit(len(order) + 1))

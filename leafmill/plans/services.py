@@ -150,7 +150,7 @@ def office_documents(spark: SparkSession, d: str) -> DataFrame:
 def office_cells(spark: SparkSession, d: str) -> DataFrame:
     from leafmill.sources import ooxml
 
-    return ooxml.read_cells(_archives(spark, d))
+    return ooxml.read_cells(_archives(spark, d).where(F.col("path").endswith("xlsx")))
 
 
 def office_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -201,6 +201,6 @@ SQL = {
     "office_replace": """WITH n AS (SELECT n_nationkey AS k, replace(n_name, 'A', 'a') AS name, (length(n_name) - length(replace(n_name, 'A', '')))::BIGINT AS c FROM nation)
         SELECT 'n' || k || '.docx' AS path, 1::BIGINT AS page, name || ' ' || name || ' & <' || k || '>' AS text, 2 * c AS hits FROM n
         UNION ALL SELECT 'n' || k || '.pptx', 1, name || ' ' || k, 2 * c + 1 FROM n UNION ALL SELECT 'n' || k || '.pptx', 2, 'second page of ' || name, 2 * c + 1 FROM n""",
-    "office_cells": """SELECT 'n' || n_nationkey || '.xlsx' AS workbook, sheet, row::BIGINT AS row, col::BIGINT AS col, CASE value WHEN '$n' THEN n_name WHEN '$k' THEN n_nationkey::VARCHAR ELSE value END AS value FROM nation,
+    "office_cells": """SELECT 'n' || n_nationkey || '.xlsx' AS workbook, sheet, row::BIGINT AS row, col::BIGINT AS col, CASE value WHEN '$n' THEN n_name WHEN '$k' THEN n_nationkey::VARCHAR ELSE value END AS value, NULL AS error FROM nation,
         (VALUES ('one', 0, 0, 'name'), ('one', 0, 1, 'key'), ('one', 1, 0, '$n'), ('one', 1, 1, '$k'), ('two', 0, 0, '=A1'), ('two', 0, 1, 'true')) t(sheet, row, col, value)""",
 }

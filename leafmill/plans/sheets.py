@@ -15,10 +15,9 @@ PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 REFS = ["A1", "Z9", "AA10", "Sheet1!B2:D10", "A0", "a1", "AB", "XFD1048576", "S_1!AA1:AB2", "B2:A0", "", "A1:", "Sheet 1!A1"]
 EDGES = ["1", "-2.5", "1e5", ".5", "5.", "+3", " 1 ", "1d", "1_0", "inf", "nan", "", "true", "TRUE", "=A1", "-", "1e", "text", "0x10", "٣"]
 FORMULAS = {
-    "total": "=SUM(F1:F200)", "mean": "=AVERAGE(E1:E100)", "cells": "=COUNT(A1:C10)", "low": "=MIN(E1:E2000)", "high": "=MAX(F1:F2000)", "sum2": "=F1+F2*2-E1/4", "choice": '=IF(F1>F2,"first","second")',
-    "nested": "=ROUND(SUM(E1:E10)/COUNT(E1:E10),3)+ABS(-2)", "missing": "=ZZ99+1", "zero": "=1/A900000", "text": "=B1+1",
+    "total": "=SUM(F:F)", "mean": "=AVERAGE(E:E)", "cells": "=COUNT(A:C)", "low": "=MIN(E:E)", "high": "=MAX(F:F)", "few": "=SUM(F1:F200)", "sum2": "=F1+F2*2-E1/4", "choice": '=IF(F1>F2,"first","second")',
+    "nested": "=ROUND(SUM(E:E)/COUNT(E:E),3)+ABS(-2)", "missing": "=ZZ99+1", "zero": "=1/A900000", "text": "=B1+1",
 }
-WHOLE = {"total": "=SUM(F:F)", "mean": "=AVERAGE(E:E)", "cells": "=COUNT(A:C)", "low": "=MIN(E:E)", "high": "=MAX(F:F)", "nested": "=ROUND(SUM(E:E)/COUNT(E:E),3)+ABS(-2)"}
 ARITH = {"revenue": "=C1*(1-D1)", "charge": "=C1*(1-D1)*(1+E1)"}
 
 
@@ -128,12 +127,6 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
     return got.select(*[F.round(k, 4).alias(k) if k not in ("choice",) else F.col(k) for k in FORMULAS])
 
 
-def formulas_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The range formulas over all rows of the sheet; those of `formulas` have the fixed ends its SQL gives them."""
-    got = formula.evaluate(part_cells(spark, d), WHOLE, sheet="part")
-    return got.select(*[F.round(k, 4).alias(k) for k in WHOLE])
-
-
 def formula_arith(spark: SparkSession, d: str) -> DataFrame:
     """Row formulas as columns: price, discount and tax of each line are C, D and E."""
     l = table(spark, d, "lineitem")  # noqa: E741
@@ -153,12 +146,26 @@ def formula_arith(spark: SparkSession, d: str) -> DataFrame:
 
 def formula_refs(spark: SparkSession, d: str) -> DataFrame:
     """References of formulas joined to cells; missing ones count 0."""
-    pairs = [(name, box.row, box.col) for name, text in FORMULAS.items() for box in formula.references(text) if box.cells == 1]
+    pairs = [(name, box.row, box.col) for name, text in FORMULAS.items() for box in formula.references(text) if not box.whole and box.cells == 1]
     asked = spark.createDataFrame(pairs, "formula string, row long, col long")
     got = asked.join(part_cells(spark, d).select("row", F.col("col").cast("long").alias("col"), "value"), ["row", "col"], "left")
     return got.select("formula", "row", "col", F.coalesce(c.number(F.col("value")), F.lit(0.0)).alias("num"))
 
 
+def sheet_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The formulas that stand in two workbooks, whose sheets have the same name: a column of row formulas and one total each."""
+    cells = part_cells(spark, d)
+    rows = c.numbered(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), ["s_suppkey"])
+    cells = cells.unionByName(c.from_table(rows, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], F.col("row"), F.lit("part"), workbook="suppliers"))
+    cells = cells.withColumn("col", F.col("col").cast("long"))
+    n = F.col("row") + 1
+    lines = cells.where("col = 0").select("workbook", "sheet", "row", F.lit(6).cast("long").alias("col"), F.when(F.col("workbook") == "book", F.concat(F.lit("=F"), n, F.lit("*2+E"), n)).otherwise(
+        F.concat(F.lit("=IF(D"), n, F.lit('>0,D'), n, F.lit("-A"), n, F.lit(",-1)"))).alias("value"))
+    totals = spark.createDataFrame([("book", "part", 0, 7, "=SUM(F:F)"), ("book", "part", 1, 7, "=G1+1"), ("suppliers", "part", 0, 7, "=MAX(D:D)+COUNT(A1:B2)"), ("suppliers", "part", 1, 7, "=1/Z9")], "workbook string, sheet string, row long, col long, value string")
+    got = formula.sheet_formulas(cells.unionByName(lines).unionByName(totals))
+    return got.select("workbook", "row", "col", "formula", F.round(c.number(F.col("result")), 4).alias("num"), F.col("result").startswith("#ERROR").alias("failed"))
+
+
 def validate_cells(spark: SparkSession, d: str) -> DataFrame:
     checks = [
         validate.Check("C:C", "List", ("Brand#11", "Brand#12", "Brand#21", "Brand#33"), allow_blank=True, message="brand"), validate.whole_number("E:E", "size"),
@@ -169,12 +176,6 @@ def validate_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chart_series(spark: SparkSession, d: str) -> DataFrame:
-    got = charts.series_data(part_cells(spark, d), "price", "F1:F100", "C1:C100")
-    return got.select("series", "ordinal", "category", "value")
-
-
-def chart_series_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The series and its categories over all rows of the sheet; `chart_series` ends at row 100, as its SQL does."""
     got = charts.series_data(part_cells(spark, d), "price", "F:F", "C:C")
     return got.select("series", "ordinal", "category", "value")
 
@@ -191,7 +192,7 @@ def _drawn(kind: str):
 
 QUERIES = {f.__name__: f for f in (
     list_sheets, read_range, read_limits, search_cells, count_cells, sheet_text, chunk_dump, cell_types, shown_numbers, chunk_plan, chunk_progress, each_chunk, memory_plan, col_to_index, a1_parse,
-    range_expand, formulas, formulas_whole, formula_arith, formula_refs, validate_cells, chart_series, chart_series_whole,
+    range_expand, formulas, sheet_formulas, formula_arith, formula_refs, validate_cells, chart_series,
 )}
 QUERIES |= {f"chart_{k}": _drawn(kind) for k, kind in (("column", "Column"), ("stacked", "ColumnStacked"), ("percent", "BarPercentStacked"), ("pie", "Pie"), ("scatter", "ScatterSmooth"))}
 
@@ -210,7 +211,7 @@ _NUM = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _CHUNKS = """SELECT row // 1000 AS chunk, row // 1000 * 1000 AS start_row, (row // 1000 + 1) * 1000 AS end_row, count(*) AS rows, sum(l_quantity) AS quantity
     FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS row, l_quantity FROM lineitem) GROUP BY ALL"""
 _FIRST = "(SELECT {0} FROM part ORDER BY p_partkey LIMIT 1 OFFSET {1})"
-_SOME = "(SELECT {0} FROM (SELECT * FROM part ORDER BY p_partkey LIMIT {1}))"
+_OF_ALL = "(SELECT {0} FROM part)"
 _DRAWN = "SELECT series, category, '{0}' AS kind, round({1}, 8) AS base, round({2}, 8) AS drawn FROM (SELECT l_returnflag AS series, l_linestatus AS category, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 _PILE = "coalesce(sum(value) OVER (PARTITION BY category ORDER BY series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)"
 _LETTERS = "CASE WHEN i < 26 THEN chr(65 + i::INT) WHEN i < 702 THEN chr((65 + (i - 26) // 26)::INT) || chr((65 + (i - 26) % 26)::INT) ELSE chr((65 + (i - 702) // 676)::INT) || chr((65 + (i - 702) // 26 % 26)::INT) || chr((65 + (i - 702) % 26)::INT) END"
@@ -241,20 +242,26 @@ SQL = {
         AND (r2 = '' OR coalesce(try_cast(r2 AS BIGINT), 0) > 0) AS ok FROM (SELECT ref, regexp_extract(ref, '{_REF}', 1) AS sheet, regexp_extract(ref, '{_REF}', 2) AS c1, regexp_extract(ref, '{_REF}', 3) AS r1,
         regexp_extract(ref, '{_REF}', 4) AS c2, regexp_extract(ref, '{_REF}', 5) AS r2 FROM (SELECT unnest([{', '.join("'" + r + "'" for r in REFS)}]) AS ref)))""",
     "range_expand": "SELECT r.range AS row, c.range AS col FROM range(1, 40) r, range(1, 5) c",
-    "formulas": f"""SELECT round({_SOME.format('sum(p_retailprice)', 200)}, 4) AS total, round({_SOME.format('sum(p_size)', 100)} / 100.0::DOUBLE, 4) AS mean, 30.0::DOUBLE AS cells,
-        {_SOME.format('min(p_size)', 2000)}::DOUBLE AS low, round({_SOME.format('max(p_retailprice)', 2000)}, 4) AS high,
+    "formulas": f"""SELECT round({_OF_ALL.format('sum(p_retailprice)')}, 4) AS total, round({_OF_ALL.format('avg(p_size)')}, 4) AS mean, {_OF_ALL.format('count(*) * 3.0::DOUBLE')} AS cells,
+        {_OF_ALL.format('min(p_size)')}::DOUBLE AS low, round({_OF_ALL.format('max(p_retailprice)')}, 4) AS high,
+        round((SELECT sum(p_retailprice) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 200)), 4) AS few,
         round({_FIRST.format('p_retailprice', 0)} + {_FIRST.format('p_retailprice', 1)} * 2 - {_FIRST.format('p_size', 0)} / 4.0::DOUBLE, 4) AS sum2,
         CASE WHEN {_FIRST.format('p_retailprice', 0)} > {_FIRST.format('p_retailprice', 1)} THEN 'first' ELSE 'second' END AS choice,
-        round(round({_SOME.format('sum(p_size)', 10)} / 10.0::DOUBLE, 3) + 2, 4) AS nested, 1.0::DOUBLE AS missing, NULL::DOUBLE AS zero, 1.0::DOUBLE AS text""",
+        round(round({_OF_ALL.format('avg(p_size)')}, 3) + 2, 4) AS nested, 1.0::DOUBLE AS missing, NULL::DOUBLE AS zero, 1.0::DOUBLE AS text""",
+    "sheet_formulas": """WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, * FROM part), s AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, * FROM supplier)
+        SELECT 'book' AS workbook, n - 1 AS row, 6::BIGINT AS col, '=F' || n || '*2+E' || n AS formula, round(p_retailprice * 2 + p_size, 4) AS num, false AS failed FROM p
+        UNION ALL SELECT 'suppliers', n - 1, 6, '=IF(D' || n || '>0,D' || n || '-A' || n || ',-1)', round(CASE WHEN s_acctbal > 0 THEN s_acctbal - s_suppkey ELSE -1 END, 4), false FROM s
+        UNION ALL SELECT 'book', 0, 7, '=SUM(F:F)', (SELECT round(sum(p_retailprice), 4) FROM p), false UNION ALL SELECT 'book', 1, 7, '=G1+1', 1.0, false
+        UNION ALL SELECT 'suppliers', 0, 7, '=MAX(D:D)+COUNT(A1:B2)', (SELECT round(max(s_acctbal) + 4, 4) FROM s), false UNION ALL SELECT 'suppliers', 1, 7, '=1/Z9', NULL, true""",
     "formula_arith": """SELECT l_returnflag, round(sum(l_extendedprice * (1.0::DOUBLE - l_discount)), 2) AS revenue, round(sum(l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax)), 2) AS charge
         FROM lineitem GROUP BY l_returnflag""",
     "formula_refs": f"""SELECT f.formula, f.row, f.col, coalesce(CASE WHEN regexp_matches(value, '{_NUM}') THEN try_cast(value AS DOUBLE) END, 0.0) AS num FROM (VALUES ('sum2', 0, 5), ('sum2', 1, 5), ('sum2', 0, 4),
         ('choice', 0, 5), ('choice', 1, 5), ('missing', 98, 701), ('zero', 899999, 0), ('text', 0, 1)) f(formula, row, col) LEFT JOIN ({_PART}) p ON p.row = f.row AND p.col = f.col""",
-    "validate_cells": f"""WITH c AS (SELECT * FROM ({_PART}) WHERE row < 2000) SELECT rule, message, count(*) AS n, min(row) AS first_row FROM (
+    "validate_cells": f"""WITH c AS (SELECT * FROM ({_PART})) SELECT rule, message, count(*) AS n, min(row) AS first_row FROM (
         SELECT 'List' AS rule, 'brand' AS message, row FROM c WHERE col = 2 AND value <> '' AND value NOT IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#33')
         UNION ALL SELECT 'WholeNumber', 'size', row FROM c WHERE col = 4 AND NOT regexp_matches(value, '^[+-]?[0-9]+$') UNION ALL SELECT 'WholeNumber', 'price', row FROM c WHERE col = 5 AND NOT regexp_matches(value, '^[+-]?[0-9]+$')
         UNION ALL SELECT 'Decimal', '', row FROM c WHERE col = 5 AND NOT regexp_matches(value, '{_NUM}') UNION ALL SELECT 'Custom', 'even', row FROM c WHERE col = 4 AND (value = '' OR try_cast(value AS INT) % 2 <> 0)) GROUP BY rule, message""",
-    "chart_series": f"""SELECT 'price' AS series, v.row AS ordinal, k.value AS category, v.value::DOUBLE AS value FROM ({_PART}) v JOIN ({_PART}) k ON v.row = k.row AND k.col = 2 WHERE v.col = 5 AND v.row < 100""",
+    "chart_series": f"""SELECT 'price' AS series, v.row AS ordinal, k.value AS category, v.value::DOUBLE AS value FROM ({_PART}) v JOIN ({_PART}) k ON v.row = k.row AND k.col = 2 WHERE v.col = 5""",
     "chart_column": _DRAWN.format("column", "0.0::DOUBLE", "value"),
     "chart_stacked": _DRAWN.format("column", _PILE, "value"),
     "chart_percent": _DRAWN.format("bar", f"{_PILE} / sum(value) OVER (PARTITION BY category)", "value / sum(value) OVER (PARTITION BY category)"),

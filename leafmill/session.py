@@ -50,11 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is chosen.
+    Only where the setting is absent and all tasks run on this machine, a temporary folder is chosen.  On a cluster each
+    executor would write to a disk of its own and what is read back would be incomplete, so there its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     local = getattr(shared_dir, "_local", None)
     if local is None:
         local = shared_dir._local = "file://" + tempfile.mkdtemp(prefix="leafmill-")

@@ -245,7 +245,7 @@ def _documents(path: str, content: bytes) -> list[dict]:
 
 
 DOCUMENTS = "path string, page int, text string, title string, author string, created string, modified string, error string"
-CELLS = "workbook string, sheet string, row long, col long, value string"
+CELLS = "workbook string, sheet string, row long, col long, value string, error string"
 
 
 def _mapped(files: DataFrame, work: Callable[[str, bytes], list[dict]], schema: str, fail_fast: bool) -> DataFrame:
@@ -261,8 +261,8 @@ def _mapped(files: DataFrame, work: Callable[[str, bytes], list[dict]], schema:
                     if fail_fast:
                         raise
                     if "error" in columns:
-                        rows.append(dict.fromkeys(columns) | {"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=columns)
+                        rows.append(dict.fromkeys(columns) | {columns[0]: path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -273,8 +273,8 @@ def read_documents(files: DataFrame, fail_fast: bool = False) -> DataFrame:
 
 
 def read_cells(files: DataFrame, fail_fast: bool = False) -> DataFrame:
-    """The cells of workbooks; unreadable ones are left out unless `fail_fast`."""
-    return _mapped(files, lambda path, content: [{"workbook": path, "sheet": n, "row": r, "col": c, "value": v} for n, cells in sheets(parts(content)) for r, c, v in cells], CELLS, fail_fast)
+    """The cells of workbooks.  An unreadable one gives one row with its error and no cell, unless `fail_fast`."""
+    return _mapped(files, lambda path, content: [{"workbook": path, "sheet": n, "row": r, "col": c, "value": v, "error": None} for n, cells in sheets(parts(content)) for r, c, v in cells], CELLS, fail_fast)
 
 
 def replace_in(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -39,7 +39,7 @@ def _formulas_by_sql(con, part: str) -> tuple:
 
 def test_formulas_reach_the_last_row(spark, con, sf, long_part):
     for d, part in ((sf, "part"), (long_part, f"'{long_part}/part.parquet/*.parquet'")):
-        got = sheets.QUERIES["formulas_whole"](spark, d).first()
+        got = sheets.QUERIES["formulas"](spark, d).first()
         assert tuple(got[k] for k in ("total", "mean", "cells", "low", "high", "nested")) == pytest.approx(tuple(map(float, _formulas_by_sql(con, part))), rel=1e-9)
 
 
@@ -53,5 +53,63 @@ def test_whole_columns_in_formulas(spark):
 def test_series_reaches_the_last_row(spark, con, sf, long_part):
     for d, part in ((sf, "part"), (long_part, f"'{long_part}/part.parquet/*.parquet'")):
         want = con.execute(f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, coalesce(p_brand, ''), p_retailprice FROM {part} ORDER BY row").fetchall()
-        got = sheets.QUERIES["chart_series_whole"](spark, d).orderBy("ordinal").collect()
+        got = sheets.QUERIES["chart_series"](spark, d).orderBy("ordinal").collect()
         assert [(r["ordinal"], r["category"], r["value"]) for r in got] == want and {r["series"] for r in got} == {"price"}
+
+
+def test_formulas_in_cells_of_two_workbooks(spark):
+    rows = [("a", "s", 0, 0, "1"), ("a", "s", 1, 0, "x"), ("b", "s", 0, 0, "10"), ("b", "t", 0, 0, "7"), ("a", "s", 0, 1, "=A1+A2*2"), ("b", "s", 0, 1, "=A1+t!A1"), ("a", "s", 1, 1, "=B1"), ("a", "s", 2, 1, "=AVERAGE(A1:A2)"),
+            ("a", "s", 3, 1, '=IF(A1=1,"yes","no")&LEN("abc")'), ("a", "s", 4, 1, "=SUM("), ("a", "s", 5, 1, "=TWICE(A1)"), ("a", "s", 6, 1, "=1/0"), ("a", "s", 7, 1, "=ROUND(-2.345,2)"), ("b", "s", 1, 1, "=MIN(C:C)"), ("b", "s", 2, 1, "=A1*TRUE")]
+    cells = spark.createDataFrame(rows, "workbook string, sheet string, row long, col long, value string")
+    formula.register("twice", lambda v: v * 2, lambda v: v * 2)
+    try:
+        got = {(r["workbook"], r["row"]): r["result"] for r in formula.sheet_formulas(cells).collect()}
+        assert formula.evaluate(cells.where("workbook = 'b'"), {"x": "=TWICE(A1)"}, sheet="s").first()["x"] == 20.0
+        per_book = {r["workbook"]: r["x"] for r in formula.evaluate(cells, {"x": "=A1"}, sheet="s").collect()}
+    finally:
+        formula.REGISTERED.clear()
+    assert per_book == {"a": 1.0, "b": 10.0}
+    want = {("a", 0): "1", ("b", 0): "17", ("a", 1): "0", ("a", 2): "0.5", ("a", 3): "yes3", ("a", 5): "2", ("a", 7): "-2.35", ("b", 1): "0", ("b", 2): "10"}
+    assert {k: got[k] for k in want} == want
+    assert got["a", 4].startswith("#ERROR") and got["a", 6] == "#ERROR: division by zero"
+    assert formula.sheet_formulas(cells.where("row > 90")).count() == 0
+
+
+def test_series_of_two_workbooks(spark):
+    from leafmill.operators import charts
+
+    cells = spark.createDataFrame([(w, "s", r, c, v) for w, x in (("a", "1"), ("b", "2")) for r, c, v in ((0, 0, "k"), (0, 1, x))], "workbook string, sheet string, row long, col int, value string")
+    got = charts.series_data(cells, "n", "B1:B1", "A1:A1").collect()
+    assert sorted((r["workbook"], r["category"], r["value"]) for r in got) == [("a", "k", 1.0), ("b", "k", 2.0)]
+
+
+def test_progress_and_texts_in_slices(spark, monkeypatch):
+    from leafmill.operators import cells as c
+
+    monkeypatch.setattr(c, "SLICE_ROWS", 3)
+    monkeypatch.setattr(c, "BLOCK_ROWS", 4)
+    df = spark.createDataFrame([(k, k + 1) for k in range(40)], "chunk long, rows long")
+    got = {r["chunk"]: (r["processed"], r["total"]) for r in c.progress(df).collect()}
+    assert got == {k: ((k + 1) * (k + 2) // 2, 820) for k in range(40)}
+    assert sorted((r["chunk"], r["row"]) for r in c.numbered(df, ["chunk"]).collect()) == [(k, k) for k in range(40)]
+    one = c.from_table(df, ["rows"], F.col("chunk"), F.lit("s"))
+    assert c.sheet_texts(one).first()["text"] == "".join(f"{k + 1}\n" for k in range(40)) and c.text_blocks(one).count() == 10
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from leafmill.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+
+
+def test_unreadable_workbooks_are_told(spark):
+    from leafmill.sources import ooxml
+
+    files = spark.createDataFrame([("bad.xlsx", b"no archive"), ("good.xlsx", ooxml.make_workbook({"s": [["1"]]}))], "path string, content binary")
+    got = {r["workbook"]: (r["value"], r["error"] is None) for r in ooxml.read_cells(files).collect()}
+    assert got == {"bad.xlsx": (None, False), "good.xlsx": ("1", True)}
