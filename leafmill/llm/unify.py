@@ -85,6 +85,21 @@ def _values(df: DataFrame, field: str, key: str, scope: Column, text: str) -> Da
     )
 
 
+def classes(values: DataFrame) -> DataFrame:
+    """(field_name, scope, id, class_id, exact_id, n_members, n_texts, n_links): one row a record of each group of one look and two
+    or more texts.  ``class_id`` is the lowest id of the group, ``exact_id`` that of the records with the very same text, and
+    ``n_links`` the other records of the group that differ in characters.  This is the form for groups of any size: rows
+    grow with the records, where pairs grow with their square."""
+    keys = materialise(_keys(values, "text").distinct(), "looks")
+    group = ["field_name", "scope", "look"]
+    texts = keys.groupBy(*group, "exact").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("exact_id"))
+    whole = texts.groupBy(*group).agg(F.sum("n").alias("n_members"), F.count(F.lit(1)).alias("n_texts"), F.min("exact_id").alias("class_id"))
+    each = texts.join(whole.where("n_texts > 1"), group)
+    # Records of one text are told apart by their ids, so one popular text is split over as many tasks as Spark's skew join takes.
+    got = keys.join(each, [*group, "exact"])
+    return got.select("field_name", "scope", "id", "class_id", "exact_id", "n_members", "n_texts", (F.col("n_members") - F.col("n")).alias("n_links"))
+
+
 def look_alikes(values: DataFrame) -> DataFrame:
     """(field_name, id_a, id_b) of different ids within a scope whose texts have one form and differ in characters.
 
@@ -105,10 +120,13 @@ def look_alikes(values: DataFrame) -> DataFrame:
     return pairs.select("field_name", "id_a", "id_b").distinct()
 
 
-def found_look_alikes(replace_rules: DataFrame, pdf_pages: DataFrame) -> DataFrame:
-    values = (
+def field_values(replace_rules: DataFrame, pdf_pages: DataFrame) -> DataFrame:
+    return (
         _values(replace_rules, "old", "rule_id", F.col("rule_set"), "old")
         .unionByName(_values(replace_rules, "new", "rule_id", F.col("rule_set"), "new"))
         .unionByName(_values(pdf_pages, "raw_text", "page_id", F.lit(""), "raw_text"))
     )
-    return look_alikes(values)
+
+
+def found_look_alikes(replace_rules: DataFrame, pdf_pages: DataFrame) -> DataFrame:
+    return look_alikes(field_values(replace_rules, pdf_pages))
