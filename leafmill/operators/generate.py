@@ -71,5 +71,23 @@ def suggestion(answer: Column, default: Column) -> Column:
     return F.when(got["replacement"].isNotNull(), got).otherwise(F.struct(default.alias("replacement"), F.lit(0.0).cast("float").alias("confidence"), F.lit(None).cast("string").alias("reasoning")))
 
 
+#: What an analysis of context tells, and what is taken for it where the answer cannot be read (fixed values).
+CONTEXT = {"tone": "formal", "domain": "business", "audience": "general", "writing_style": "professional"}
+
+
+def context_prompt(text: Column) -> Column:
+    """A request for the tone, domain, audience and style of a text, as JSON."""
+    return F.concat(F.lit("Name tone, domain, audience and writing_style of the following text as one JSON object and nothing else:\n"), text)
+
+
+def context_analysis(answer: Column) -> Column:
+    """The struct of CONTEXT in a JSON answer; an answer that lacks one of the fields, or is none, gives the default as a whole."""
+    got = F.from_json(answer, ", ".join(f"{k} string" for k in CONTEXT), {"mode": "PERMISSIVE"})
+    whole = F.lit(True)
+    for k in CONTEXT:
+        whole = whole & got[k].isNotNull()
+    return F.when(whole, got).otherwise(F.struct(*[F.lit(v).alias(k) for k, v in CONTEXT.items()]))
+
+
 def smart_replace_prompt(text: Column, old: str, new: str) -> Column:
     return F.concat(F.lit(f"Replace {old!r} by {new!r} so that the passage reads well:\n"), context(text, old))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +92,8 @@ def replace_counts_by_rule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replace_dry_run(spark: SparkSession, d: str) -> DataFrame:
-    got = textops.replace_steps(_docs(spark, d).select("source", "text"), "text", RULES[:3])
-    total = F.col("hits_0") + F.col("hits_1") + F.col("hits_2")
+    got = textops.replace_steps(_docs(spark, d).select("source", "text"), "text", RULES)
+    total = reduce(lambda a, b: a + b, [F.col(f"hits_{k}") for k in range(len(RULES))])
     return got.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(total).alias("replacements"), F.count_if(total > 0).alias("changed"), F.count_if(F.col("text").isNull()).alias("errors"))
 
 
@@ -147,7 +149,7 @@ def format_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_json(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", formats.as_json(F.struct("doc_id", "lang", "doc_kind", "file_name", "text")).alias("json"))
+    return _docs(spark, d).select("doc_id", F.md5(formats.as_json(F.struct("doc_id", "lang", "doc_kind", "file_name", "text"))).alias("digest"))
 
 
 def line_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -219,16 +221,25 @@ def smart_replace(spark: SparkSession, d: str) -> DataFrame:
     def client():
         return lambda provider, model, system, prompt, limit: ('{"replacement": "record", "confidence": 0.9, "reasoning": "' + provider + '"}', len(prompt.split()), 3)
 
-    docs = _docs(spark, d).where(F.contains("text", F.lit("file"))).select("doc_id", "text", "doc_kind", "lang")
+    docs = _docs(spark, d).where("text is not null").select("doc_id", "text", "doc_kind", "lang")
     asked = g.requests(docs, g.smart_replace_prompt(F.col("text"), "file", "record"), F.lit("custom"), F.lit("claude-test"), {"audience": F.col("lang"), "tone": F.lit("plain")})
     got = g.generate(asked, "doc_id", client).withColumn("s", g.suggestion(F.col("content"), F.lit("record")))
-    return got.select("doc_id", F.col("s.replacement").alias("replacement"), F.col("s.confidence").alias("confidence"), "prompt_tokens", "total_tokens", "error")
+    return got.select("doc_id", F.col("s.replacement").alias("replacement"), F.round(F.col("s.confidence").cast("double"), 3).alias("confidence"), "prompt_tokens", "total_tokens", "error")
+
+
+def context_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """What a client says of the context of each text; the default where its answer is no JSON or not whole."""
+    from leafmill.operators import generate as g
+
+    answer = F.when(F.col("doc_kind") == "report", F.concat(F.lit('{"tone": "technical", "domain": "'), F.col("doc_kind"), F.lit('", "audience": "developers", "writing_style": "casual", "more": 1}'))).when(
+        F.col("doc_kind") == "memo", F.lit('{"tone": "friendly"}')).otherwise(F.lit("no answer"))
+    return _docs(spark, d).select("doc_id", g.context_analysis(answer).alias("c")).select("doc_id", "c.*")
 
 
 QUERIES = {f.__name__: f for f in (
     elements_by_type, line_elements, pdf_blocks, legacy_paragraphs, detect_tables, table_cells, page_split_ff, page_split_even, extraction_stats, replace_single, replace_rule_fold,
     replace_counts_by_rule, replace_dry_run, rule_validation, context_window, placeholder_list, template_render, html_escape, xml_escape, xml_text, format_text, format_markdown,
-    format_html, format_json, line_difference, file_dispatch, glob_exclude, format_size, permission_flags, permission_bits, pdf_date, page_tables, ocr_estimates, md_elements, md_sections, smart_replace,
+    format_html, format_json, line_difference, file_dispatch, glob_exclude, format_size, permission_flags, permission_bits, pdf_date, page_tables, ocr_estimates, md_elements, md_sections, smart_replace, context_analysis,
 )}
 
 
@@ -266,6 +277,7 @@ _HTML = f"""CASE element_type WHEN 'heading' THEN '<h2>' || {_escaped('content',
     ELSE '<p>' || {_escaped('content', '&#39;')} || '</p>' || chr(10) END"""
 _EXT = r"nullif(lower(regexp_extract(file_name, '\.([^./\\]+)$', 1)), '')"
 
+_HITS = " + ".join(f"hits_{k}" for k in range(len(RULES)))
 SQL = {
     "elements_by_type": f"SELECT lang, element_type, count(*) AS n FROM ({_ELEMENTS}) GROUP BY ALL",
     "line_elements": f"""SELECT doc_id, pos, element_type, CASE WHEN element_type = 'heading' THEN 2::BIGINT END AS level, CASE WHEN element_type = 'list_item' THEN substring(content, 1, 1) END AS marker,
@@ -288,8 +300,14 @@ SQL = {
     "replace_single": f"SELECT doc_id, md5({_folded(RULES[:1])}) AS digest FROM documents",
     "replace_rule_fold": f"SELECT doc_id, md5({_folded(RULES)}) AS digest FROM documents",
     "replace_counts_by_rule": " UNION ALL ".join(f"SELECT {k}::BIGINT AS rule, sum(hits_{k})::BIGINT AS hits FROM ({_steps(RULES, 'doc_id')})" for k in range(len(RULES))),
-    "replace_dry_run": f"""SELECT source, count(*) AS files, sum(hits_0 + hits_1 + hits_2)::BIGINT AS replacements, count(*) FILTER (hits_0 + hits_1 + hits_2 > 0) AS changed, count(*) FILTER (t0 IS NULL) AS errors
-        FROM ({_steps(RULES[:3], 'source')}) GROUP BY source""",
+    "replace_dry_run": f"""SELECT source, count(*) AS files, sum({_HITS})::BIGINT AS replacements, count(*) FILTER ({_HITS} > 0) AS changed, count(*) FILTER (t0 IS NULL) AS errors
+        FROM ({_steps(RULES, 'source')}) GROUP BY source""",
+    "format_json": """SELECT doc_id, md5('{' || chr(10) || '  "doc_id" : ' || doc_id || ',' || chr(10) || array_to_string([printf('  "%s" : ', x[1]) || coalesce(to_json(x[2])::VARCHAR, 'null')
+        FOR x IN [['lang', lang], ['doc_kind', doc_kind], ['file_name', file_name], ['text', text]]], ',' || chr(10)) || chr(10) || '}') AS digest FROM documents""",
+    "smart_replace": r"""SELECT doc_id, 'record' AS replacement, 0.9::DOUBLE AS confidence, n AS prompt_tokens, n + 3 AS total_tokens, NULL AS error FROM (SELECT doc_id, 10 + len(list_filter(string_split_regex(CASE WHEN instr(text, 'file') > 0
+        THEN substring(text, greatest(instr(text, 'file') - 200, 1), instr(text, 'file') + 204 - greatest(instr(text, 'file') - 200, 1)) ELSE substring(text, 1, 400) END, '[\s\x{A0}\x{2000}-\x{200A}\x{3000}\x{202F}]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL)""",
+    "context_analysis": """SELECT doc_id, CASE WHEN r THEN 'technical' ELSE 'formal' END AS tone, CASE WHEN r THEN 'report' ELSE 'business' END AS domain, CASE WHEN r THEN 'developers' ELSE 'general' END AS audience,
+        CASE WHEN r THEN 'casual' ELSE 'professional' END AS writing_style FROM (SELECT doc_id, doc_kind = 'report' AS r FROM documents)""",
     "rule_validation": "SELECT rule_set, count(*) AS rules, count(*) FILTER (coalesce(old, '') <> '' AND old <> coalesce(new, '')) AS valid FROM replace_rules GROUP BY rule_set",
     "context_window": """SELECT doc_id, md5(CASE WHEN instr(text, '403') > 0 THEN substring(text, greatest(instr(text, '403') - 200, 1), instr(text, '403') + 203 - greatest(instr(text, '403') - 200, 1))
         ELSE substring(text, 1, 400) END) AS digest FROM documents""",

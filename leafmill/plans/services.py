@@ -28,10 +28,8 @@ def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def breaker_summary(spark: SparkSession, d: str) -> DataFrame:
-    """One failure opens, one success closes and the timeout is nought: every event is admitted, and the state follows
-    the last event, which SQL can say as well."""
-    got = breaker.over_table(_events(spark, d), failures=1, successes=1, timeout=0.0)
-    return got.groupBy("ok", "state").agg(F.count(F.lit(1)).alias("n"), F.count_if("admitted").alias("admitted"))
+    """Events by their outcome, whether they were let through and the state after them."""
+    return circuit_breaker(spark, d).groupBy("ok", "admitted", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def circuit_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -166,9 +164,21 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _RANK = "CASE {0} WHEN 'None' THEN 0 WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 WHEN 'Critical' THEN 4 END"
+# The breaker event by event: each round of the recursion takes the next event of every key.
+_BREAKER = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS seconds, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    b AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::DOUBLE AS seconds, NULL::BOOLEAN AS ok, NULL::BOOLEAN AS admitted, 'closed' AS state, 0 AS failed, 0 AS passed, NULL::DOUBLE AS failure FROM e WHERE n = 1
+        UNION ALL SELECT key, n, event_id, seconds, ok, admitted, CASE WHEN NOT admitted THEN 'open' WHEN ok AND was = 'half_open' AND had + 1 < 2 THEN 'half_open' WHEN ok THEN 'closed' WHEN was = 'half_open' OR lost + 1 >= 2 THEN 'open' ELSE was END,
+            CASE WHEN NOT admitted THEN lost WHEN ok AND was = 'half_open' AND had + 1 < 2 THEN lost WHEN ok OR was = 'half_open' THEN 0 ELSE lost + 1 END,
+            CASE WHEN admitted AND ok AND was = 'half_open' AND had + 1 < 2 THEN had + 1 WHEN admitted AND was = 'half_open' THEN 0 ELSE had END, CASE WHEN admitted AND NOT ok THEN seconds ELSE failure END
+        FROM (SELECT e.*, b.failure, b.failed AS lost, NOT (b.state = 'open' AND (b.failure IS NULL OR e.seconds - b.failure < 86400)) AS admitted,
+                CASE WHEN b.state = 'open' AND e.seconds - b.failure >= 86400 THEN 'half_open' ELSE b.state END AS was, CASE WHEN b.state = 'open' AND e.seconds - b.failure >= 86400 THEN 0 ELSE b.passed END AS had
+            FROM b JOIN e ON e.key = b.key AND e.n = b.n + 1))
+    SELECT {0} FROM b WHERE n > 0"""
 _NAMES = "unnest(['None', 'Low', 'Medium', 'High', 'Critical'])"
 SQL = {
-    "breaker_summary": """SELECT ok, CASE WHEN ok THEN 'closed' ELSE 'open' END AS state, count(*) AS n, count(*) AS admitted FROM (SELECT event_type <> 'error' AS ok FROM events) GROUP BY ALL""",
+    "circuit_breaker": _BREAKER.format("key, event_id, seconds, ok, admitted, state"),
+    "circuit_breaker_stream": _BREAKER.format("key, event_id, seconds, ok, admitted, state"),
+    "breaker_summary": _BREAKER.format("ok, admitted, state, count(*) AS n") + " GROUP BY ok, admitted, state",
     "windowed_events": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "batch_fold": """SELECT user_id, count(*) AS processed, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed,
         coalesce(sum(strlen(props)) FILTER (event_type <> 'error'), 0)::BIGINT AS output_bytes FROM events GROUP BY user_id""",
