@@ -137,12 +137,14 @@ def _types(overrides: dict[str, str]) -> bytes:
     lines = "".join(f'<Override PartName="/{p}" ContentType="application/vnd.openxmlformats-officedocument.{t}+xml"/>' for p, t in overrides.items())
     return (
         f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        f'<Default Extension="xml" ContentType="application/xml"/>{lines}</Types>'
+        f'<Default Extension="xml" ContentType="application/xml"/>{lines}'
+        '<Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
     ).encode()
 
 
 def _rels(targets: list[tuple[str, str]]) -> bytes:
-    lines = "".join(f'<Relationship Id="rId{k}" Type="{R}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate(targets, 1))
+    kinds = lambda kind: f"{PKG}/relationships/metadata/core-properties" if kind == "core" else f"{R}/{kind}"
+    lines = "".join(f'<Relationship Id="rId{k}" Type="{kinds(kind)}" Target="{target}"/>' for k, (kind, target) in enumerate(targets, 1))
     return f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{PKG}/relationships">{lines}</Relationships>'.encode()
 
 
@@ -173,22 +175,63 @@ def make_word(elements: list[tuple[str, int | None, str]], title: str | None = N
         style = f'<w:pPr><w:pStyle w:val="Heading{min(max(level or 1, 1), 6)}"/></w:pPr>' if kind == "heading" else '<w:pPr><w:pStyle w:val="ListParagraph"/></w:pPr>' if "item" in kind else ""
         body += f'<w:p>{style}<w:r><w:t xml:space="preserve">{_escape(content)}</w:t></w:r></w:p>'
     return _zipped({
-        "[Content_Types].xml": _types({"word/document.xml": "wordprocessingml.document.main"}), "_rels/.rels": _rels([("officeDocument", "word/document.xml")]),
+        "[Content_Types].xml": _types({"word/document.xml": "wordprocessingml.document.main"}), "_rels/.rels": _rels([("officeDocument", "word/document.xml"), ("core", "docProps/core.xml")]),
         "word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>'.encode(), "docProps/core.xml": _core(title, author),
     })
 
 
+_P = "http://schemas.openxmlformats.org/presentationml/2006/main"
+_TREE = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
+# The colours a theme has to name, in the order of the standard (fixed values); the shades are this library's own.
+_COLOURS = {"dk1": "000000", "lt1": "FFFFFF", "dk2": "333F50", "lt2": "EEEEEE", "accent1": "3B6EA5", "accent2": "C06014", "accent3": "6B8E23", "accent4": "8E5BA6", "accent5": "2A9D8F", "accent6": "B5838D", "hlink": "1F5FBF", "folHlink": "6A4C93"}
+_MAP = " ".join(f'{k}="{v}"' for k, v in {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2", **{f"accent{n}": f"accent{n}" for n in range(1, 7)}, "hlink": "hlink", "folHlink": "folHlink"}.items())
+
+
+def _slide_part(tag: str, boxes: str, rest: str = "") -> bytes:
+    return (
+        f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><p:{tag} xmlns:p="{_P}" xmlns:a="{A}" xmlns:r="{R}"><p:cSld><p:spTree>{_TREE}{boxes}</p:spTree></p:cSld>{rest}</p:{tag}>'
+    ).encode()
+
+
+def _theme() -> bytes:
+    colours = "".join(f'<a:{k}><a:srgbClr val="{v}"/></a:{k}>' for k, v in _COLOURS.items())
+    font = '<a:latin typeface="Arial"/><a:ea typeface=""/><a:cs typeface=""/>'
+    fill = '<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>'
+    return (
+        f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><a:theme xmlns:a="{A}" name="plain"><a:themeElements><a:clrScheme name="plain">{colours}</a:clrScheme>'
+        f'<a:fontScheme name="plain"><a:majorFont>{font}</a:majorFont><a:minorFont>{font}</a:minorFont></a:fontScheme><a:fmtScheme name="plain"><a:fillStyleLst>{fill * 3}</a:fillStyleLst>'
+        f'<a:lnStyleLst>{f"<a:ln>{fill}</a:ln>" * 3}</a:lnStyleLst><a:effectStyleLst>{"<a:effectStyle><a:effectLst/></a:effectStyle>" * 3}</a:effectStyleLst><a:bgFillStyleLst>{fill * 3}</a:bgFillStyleLst>'
+        "</a:fmtScheme></a:themeElements></a:theme>"
+    ).encode()
+
+
 def make_slides(pages: list[list[str]], title: str | None = None, author: str | None = None) -> bytes:
-    """A presentation archive with a slide of text boxes for each page."""
-    p = "http://schemas.openxmlformats.org/presentationml/2006/main"
+    """A presentation archive with a slide of text boxes for each page, and the master, layout and theme that a slide needs."""
+    numbers = range(1, len(pages) + 1)
     made = {
-        "[Content_Types].xml": _types({"ppt/presentation.xml": "presentationml.presentation.main"} | {f"ppt/slides/slide{k}.xml": "presentationml.slide" for k in range(1, len(pages) + 1)}),
-        "_rels/.rels": _rels([("officeDocument", "ppt/presentation.xml")]), "ppt/presentation.xml": f'<?xml version="1.0"?><p:presentation xmlns:p="{p}"/>'.encode(),
-        "ppt/_rels/presentation.xml.rels": _rels([("slide", f"slides/slide{k}.xml") for k in range(1, len(pages) + 1)]), "docProps/core.xml": _core(title, author),
+        "[Content_Types].xml": _types({
+            "ppt/presentation.xml": "presentationml.presentation.main", "ppt/slideMasters/slideMaster1.xml": "presentationml.slideMaster", "ppt/slideLayouts/slideLayout1.xml": "presentationml.slideLayout",
+            "ppt/theme/theme1.xml": "theme", **{f"ppt/slides/slide{k}.xml": "presentationml.slide" for k in numbers},
+        }),
+        "_rels/.rels": _rels([("officeDocument", "ppt/presentation.xml"), ("core", "docProps/core.xml")]),
+        "ppt/presentation.xml": (
+            f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><p:presentation xmlns:p="{_P}" xmlns:r="{R}"><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId{len(pages) + 1}"/></p:sldMasterIdLst>'
+            + ("<p:sldIdLst>" + "".join(f'<p:sldId id="{255 + k}" r:id="rId{k}"/>' for k in numbers) + "</p:sldIdLst>" if pages else "") + '<p:sldSz cx="9144000" cy="6858000"/><p:notesSz cx="6858000" cy="9144000"/></p:presentation>'
+        ).encode(),
+        "ppt/_rels/presentation.xml.rels": _rels([*[("slide", f"slides/slide{k}.xml") for k in numbers], ("slideMaster", "slideMasters/slideMaster1.xml"), ("theme", "theme/theme1.xml")]),
+        "ppt/slideMasters/slideMaster1.xml": _slide_part("sldMaster", "", f'<p:clrMap {_MAP}/><p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rId1"/></p:sldLayoutIdLst>'),
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": _rels([("slideLayout", "../slideLayouts/slideLayout1.xml"), ("theme", "../theme/theme1.xml")]),
+        "ppt/slideLayouts/slideLayout1.xml": _slide_part("sldLayout", "", "<p:clrMapOvr><a:masterClrMapping/></p:clrMapOvr>"),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": _rels([("slideMaster", "../slideMasters/slideMaster1.xml")]), "ppt/theme/theme1.xml": _theme(), "docProps/core.xml": _core(title, author),
     }
     for k, texts in enumerate(pages, 1):
-        boxes = "".join(f"<p:sp><p:txBody><a:p><a:r><a:t>{_escape(t)}</a:t></a:r></a:p></p:txBody></p:sp>" for t in texts)
-        made[f"ppt/slides/slide{k}.xml"] = f'<?xml version="1.0"?><p:sld xmlns:p="{p}" xmlns:a="{A}"><p:cSld><p:spTree>{boxes}</p:spTree></p:cSld></p:sld>'.encode()
+        boxes = "".join(
+            f'<p:sp><p:nvSpPr><p:cNvPr id="{n + 1}" name="Text {n}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="457200" y="{457200 * n}"/><a:ext cx="8229600" cy="411480"/></a:xfrm>'
+            f'<a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr wrap="square"/><a:lstStyle/><a:p><a:r><a:t>{_escape(t)}</a:t></a:r></a:p></p:txBody></p:sp>'
+            for n, t in enumerate(texts, 1)
+        )
+        made[f"ppt/slides/slide{k}.xml"] = _slide_part("sld", boxes, "<p:clrMapOvr><a:masterClrMapping/></p:clrMapOvr>")
+        made[f"ppt/slides/_rels/slide{k}.xml.rels"] = _rels([("slideLayout", "../slideLayouts/slideLayout1.xml")])
     return _zipped(made)
 
 
@@ -200,7 +243,7 @@ def make_workbook(content: dict[str, list[list[str]]]) -> bytes:
     names = list(content)
     made = {
         "[Content_Types].xml": _types({"xl/workbook.xml": "spreadsheetml.sheet.main"} | {f"xl/worksheets/sheet{k}.xml": "spreadsheetml.worksheet" for k in range(1, len(names) + 1)}),
-        "_rels/.rels": _rels([("officeDocument", "xl/workbook.xml")]), "xl/_rels/workbook.xml.rels": _rels([("worksheet", f"worksheets/sheet{k}.xml") for k in range(1, len(names) + 1)]),
+        "_rels/.rels": _rels([("officeDocument", "xl/workbook.xml"), ("core", "docProps/core.xml")]), "docProps/core.xml": _core(None, None), "xl/_rels/workbook.xml.rels": _rels([("worksheet", f"worksheets/sheet{k}.xml") for k in range(1, len(names) + 1)]),
         "xl/workbook.xml": (f'<?xml version="1.0"?><workbook xmlns="{S}" xmlns:r="{R}"><sheets>' + "".join(f'<sheet name="{_escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>").encode(),
     }
     for k, n in enumerate(names, 1):

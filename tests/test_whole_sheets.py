@@ -113,3 +113,24 @@ def test_unreadable_workbooks_are_told(spark):
     files = spark.createDataFrame([("bad.xlsx", b"no archive"), ("good.xlsx", ooxml.make_workbook({"s": [["1"]]}))], "path string, content binary")
     got = {r["workbook"]: (r["value"], r["error"] is None) for r in ooxml.read_cells(files).collect()}
     assert got == {"bad.xlsx": (None, False), "good.xlsx": ("1", True)}
+
+
+def test_a_presentation_has_every_part_it_names():
+    """Each relationship leads to a part, each part has a content type, and every slide reaches a master and a theme."""
+    import posixpath
+    from xml.etree import ElementTree as ET
+
+    from leafmill.sources import ooxml
+
+    archive = ooxml.parts(ooxml.make_slides([["a & b"], ["c"]], title="t", author="x"))
+    named = {e.get("PartName") for e in ET.fromstring(archive["[Content_Types].xml"]) if e.get("PartName")}
+    assert named == {f"/{n}" for n in archive if n.endswith(".xml") and not n.startswith("[")}
+    reached = {}
+    for name, xml in archive.items():
+        ET.fromstring(xml)
+        if name.endswith(".rels"):
+            base = posixpath.dirname(posixpath.dirname(name))
+            reached[name] = {posixpath.normpath(posixpath.join(base, e.get("Target"))) for e in ET.fromstring(xml)}
+            assert reached[name] <= set(archive), name
+    assert reached["ppt/slides/_rels/slide2.xml.rels"] == {"ppt/slideLayouts/slideLayout1.xml"} and "ppt/theme/theme1.xml" in reached["ppt/slideMasters/_rels/slideMaster1.xml.rels"]
+    assert [t for _, t in ooxml.slides(archive)] == ["a & b", "c"] and ooxml.properties(archive)["title"] == "t"
