@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ITEM = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])\s+(.*)$")
@@ -111,5 +111,28 @@ def elements(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return source.mapInArrow(work, f"{key} {dict(df.dtypes)[key]}, title string, section int, seq int, kind string, level int, content string")
 
 
+# Spans within a line, in the order in which they are taken out of it: kind, pattern, whether its second group is an address.
+INLINE = (
+    ("inline_code", r"`([^`\n]+)`", False), ("image", r"!\[([^\]\n]*)\]\(([^)\s]*)\)", True), ("link", r"\[([^\]\n]+)\]\(([^)\s]*)\)", True),
+    ("bold", r"\*\*([^*\n]+)\*\*", False), ("italic", r"\*([^*\s][^*\n]*)\*", False), ("strikethrough", r"~~([^~\n]+)~~", False), ("line_break", r"( {2})\n", False),
+)
+
+
+def _span(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["a"].alias("text"), x["b"].alias("url"))
+
+
+def inlines(text: Column) -> Column:
+    """The spans of a text as an array of (kind, text, url): code, images, links, bold, italic, strikethrough and line breaks.
+    A span is taken out before the next kind is looked for, so nothing within code or an image counts.  All in the JVM."""
+    left, parts = F.coalesce(text, F.lit("")), []
+    for kind, pattern, address in INLINE:
+        said = F.regexp_extract_all(left, F.lit(pattern), F.lit(1))
+        at = F.regexp_extract_all(left, F.lit(pattern), F.lit(2)) if address else F.transform(said, lambda _: F.lit(None).cast("string"))
+        parts.append(F.transform(F.arrays_zip(said.alias("a"), at.alias("b")), _span(kind)))
+        left = F.regexp_replace(left, pattern, " ")
+    return F.concat(*parts)
+
+
 def counts(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.groupBy(key).agg(F.countDistinct("section").alias("sections"), F.count(F.lit(1)).alias("elements"))

@@ -214,6 +214,14 @@ def md_sections(spark: SparkSession, d: str) -> DataFrame:
     return markdown.counts(markdown.elements(_docs(spark, d), "doc_id"), "doc_id")
 
 
+def md_inlines(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of all documents by kind."""
+    from leafmill.operators import markdown
+
+    got = _docs(spark, d).select(F.explode(markdown.inlines(F.col("text"))).alias("s")).select("s.*")
+    return got.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"), F.count("url").alias("urls"))
+
+
 def smart_replace(spark: SparkSession, d: str) -> DataFrame:
     """A replacement suggested by an injected client, here one that answers in JSON without a service."""
     from leafmill.operators import generate as g
@@ -239,7 +247,7 @@ def context_analysis(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     elements_by_type, line_elements, pdf_blocks, legacy_paragraphs, detect_tables, table_cells, page_split_ff, page_split_even, extraction_stats, replace_single, replace_rule_fold,
     replace_counts_by_rule, replace_dry_run, rule_validation, context_window, placeholder_list, template_render, html_escape, xml_escape, xml_text, format_text, format_markdown,
-    format_html, format_json, line_difference, file_dispatch, glob_exclude, format_size, permission_flags, permission_bits, pdf_date, page_tables, ocr_estimates, md_elements, md_sections, smart_replace, context_analysis,
+    format_html, format_json, line_difference, file_dispatch, glob_exclude, format_size, permission_flags, permission_bits, pdf_date, page_tables, ocr_estimates, md_elements, md_sections, md_inlines, smart_replace, context_analysis,
 )}
 
 
@@ -277,6 +285,20 @@ _HTML = f"""CASE element_type WHEN 'heading' THEN '<h2>' || {_escaped('content',
     ELSE '<p>' || {_escaped('content', '&#39;')} || '</p>' || chr(10) END"""
 _EXT = r"nullif(lower(regexp_extract(file_name, '\.([^./\\]+)$', 1)), '')"
 
+
+def _inline_sql() -> str:
+    """Each kind of span with those before it blanked out."""
+    spans = [
+        ("inline_code", "`([^`\\n]+)`"), ("image", r"!\[([^\]\n]*)\]\([^)\s]*\)"), ("link", r"\[([^\]\n]+)\]\([^)\s]*\)"), ("bold", r"\*\*([^*\n]+)\*\*"), ("italic", r"\*([^*\s][^*\n]*)\*"),
+        ("strikethrough", "~~([^~\\n]+)~~"), ("line_break", r"( {2})\n"),
+    ]
+    left, out = "coalesce(text, '')", []
+    for kind, pattern in spans:
+        out.append(f"SELECT '{kind}' AS kind, {'true' if kind in ('image', 'link') else 'false'} AS addressed, unnest(regexp_extract_all({left}, '{pattern}', 1)) AS s FROM documents")
+        left = f"regexp_replace({left}, '{pattern}', ' ', 'g')"
+    return f"SELECT kind, count(*) AS n, sum(length(s))::BIGINT AS characters, count(*) FILTER (addressed) AS urls FROM ({' UNION ALL '.join(out)}) GROUP BY kind"
+
+
 _HITS = " + ".join(f"hits_{k}" for k in range(len(RULES)))
 SQL = {
     "elements_by_type": f"SELECT lang, element_type, count(*) AS n FROM ({_ELEMENTS}) GROUP BY ALL",
@@ -306,6 +328,7 @@ SQL = {
         FOR x IN [['lang', lang], ['doc_kind', doc_kind], ['file_name', file_name], ['text', text]]], ',' || chr(10)) || chr(10) || '}') AS digest FROM documents""",
     "smart_replace": r"""SELECT doc_id, 'record' AS replacement, 0.9::DOUBLE AS confidence, n AS prompt_tokens, n + 3 AS total_tokens, NULL AS error FROM (SELECT doc_id, 10 + len(list_filter(string_split_regex(CASE WHEN instr(text, 'file') > 0
         THEN substring(text, greatest(instr(text, 'file') - 200, 1), instr(text, 'file') + 204 - greatest(instr(text, 'file') - 200, 1)) ELSE substring(text, 1, 400) END, '[\s\x{A0}\x{2000}-\x{200A}\x{3000}\x{202F}]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL)""",
+    "md_inlines": _inline_sql(),
     "context_analysis": """SELECT doc_id, CASE WHEN r THEN 'technical' ELSE 'formal' END AS tone, CASE WHEN r THEN 'report' ELSE 'business' END AS domain, CASE WHEN r THEN 'developers' ELSE 'general' END AS audience,
         CASE WHEN r THEN 'casual' ELSE 'professional' END AS writing_style FROM (SELECT doc_id, doc_kind = 'report' AS r FROM documents)""",
     "rule_validation": "SELECT rule_set, count(*) AS rules, count(*) FILTER (coalesce(old, '') <> '' AND old <> coalesce(new, '')) AS valid FROM replace_rules GROUP BY rule_set",

@@ -28,17 +28,19 @@ def apply_preset(spark: SparkSession, preset: Preset) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(preset.chunk_rows))
 
 
-def each_chunk(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, fail_fast: bool = True) -> DataFrame:
-    """`work` on each batch of rows.  With `fail_fast` its first error fails the query; otherwise a batch whose work fails
-    is left out, as a row of its error cannot have the result's schema."""
+def each_chunk(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, fail_fast: bool = True, failed: Callable[[pd.DataFrame, Exception], pd.DataFrame] | None = None) -> DataFrame:
+    """`work` on each batch of rows.  With `fail_fast` its first error fails the query.  Otherwise `failed` makes the rows that
+    stand for a batch whose work fails; without it such a batch is left out, as a row of its error cannot have the schema."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 yield work(batch)
-            except Exception:
-                if fail_fast:
+            except Exception as e:
+                if fail_fast and failed is None:
                     raise
+                if failed is not None:
+                    yield failed(batch, e)
 
     return df.mapInPandas(run, schema)
 

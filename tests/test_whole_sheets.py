@@ -134,3 +134,43 @@ def test_a_presentation_has_every_part_it_names():
             assert reached[name] <= set(archive), name
     assert reached["ppt/slides/_rels/slide2.xml.rels"] == {"ppt/slideLayouts/slideLayout1.xml"} and "ppt/theme/theme1.xml" in reached["ppt/slideMasters/_rels/slideMaster1.xml.rels"]
     assert [t for _, t in ooxml.slides(archive)] == ["a & b", "c"] and ooxml.properties(archive)["title"] == "t"
+
+
+def test_a_failing_batch_can_be_told(spark):
+    import pandas as pd
+
+    from leafmill.streaming import chunked
+
+    def work(batch):
+        if (batch["id"] >= 5).any():
+            raise ValueError("too large")
+        return batch.assign(error=None)
+
+    got = chunked.each_chunk(spark.range(10).repartition(4), work, "id long, error string", failed=lambda b, e: pd.DataFrame({"id": b["id"], "error": str(e)})).collect()
+    assert len(got) == 10 and all((r["error"] == "too large") or r["id"] < 5 for r in got) and any(r["error"] for r in got)
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    """A stream of three files: the second moves the watermark, and what the third brings from before it is too late."""
+    import datetime as dt
+
+    from leafmill.streaming import breaker, chunked
+
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema = "ts timestamp, event_type string, value double"
+    files = [[(at(1, 1), "view", 1.0), (at(1, 2), "view", 2.0)], [(at(5, 0), "view", 4.0)], [(at(1, 3), "view", 8.0), (at(4, 23), "view", 16.0), (at(9, 0), "view", 32.0)]]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, rows in enumerate(files):  # each is taken in before the next arrives
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = breaker.windowed_failures(chunked.folder_stream(spark, folder, spark.createDataFrame([], schema).schema, 1), "1 hour", "1 day")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    got = {(r["start"].day, r["start"].hour): r["total"] for r in spark.read.parquet(out).collect()}
+    assert got[1, 1] == 1.0 and got[1, 2] == 2.0 and got[4, 23] == 16.0 and got[5, 0] == 4.0 and (1, 3) not in got
+
+
+def test_spans_of_a_line(spark):
+    from leafmill.operators import markdown
+
+    text = "**bold** and *thin* `a *b*` ![pic](p.png) [site](http://x) ~~old~~ end  \nnext"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(F.explode(markdown.inlines(F.col("t"))).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in got] == [("inline_code", "a *b*", None), ("image", "pic", "p.png"), ("link", "site", "http://x"), ("bold", "bold", None), ("italic", "thin", None), ("strikethrough", "old", None), ("line_break", "  ", None)]
