@@ -5,7 +5,7 @@ strictly decoded as the intended one.  The pair with the largest drop of the gar
 replaced, and the search is repeated for nested layers, as long as the cost drops by MARGIN or more.
 
 The garbling cost of a word is its negative log likelihood under a model of characters in order two, backed off to
-classes of characters (scripts, signs, control codes), trained on clean text of known languages.  A word whose
+classes of characters (scripts, signs, control codes), counted over all clean text of known languages.  A word whose
 look-alike letters alone explain it (see ``glyphs``) is left: the repair has to beat that reading too.
 
 Defined results: null, empty and blank texts are not garbled; texts with replacement characters, C1 control codes or
@@ -30,8 +30,6 @@ from leafmill.llm import textbatch as tb
 from leafmill.llm.glyphs import one_form, unify
 
 MARGIN = 6.0
-#: Characters of clean text that the cost is trained on, at most; a documented bound on the sample sent to the driver.
-TRAIN_CHARS = 400_000
 
 # (wrong, intended) encodings tried (fixed values).
 PAIRS = (
@@ -187,23 +185,35 @@ _SIZE = {"hangul": 2500, "han": 3000, "compat": 300, "kana": 170, "halfkana": 60
 class Cost:
     """Negative log likelihood of words, from character pairs backed off to classes."""
 
-    def __init__(self, texts: list[str]):
-        self.pair: Counter = Counter()
-        self.one: Counter = Counter()
-        self.cpair: Counter = Counter()
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        """From the different pairs of characters (first << 21 | second) and how often each stands in clean text."""
+        order = np.argsort(pairs)
+        self.pairs, self.counts = pairs[order], counts[order]
+        self.one, self.inside = self._sums(self.pairs >> 21), self._sums(self.pairs & 0x1FFFFF)
+        names: dict[str, int] = {}
+        kind = np.zeros(0x110000, np.int16)
+        for c in {**self.one, **self.inside}:
+            kind[ord(c)] = names.setdefault(_class(c), len(names))
+        n, named = len(names), list(names)
+        sums = np.zeros(n * n, np.int64)
+        np.add.at(sums, kind[self.pairs >> 21].astype(np.int64) * n + kind[self.pairs & 0x1FFFFF], self.counts)
+        self.cpair = Counter({(named[k // n], named[k % n]): int(sums[k]) for k in np.flatnonzero(sums)})
         self.cone: Counter = Counter()
-        self.inside: Counter = Counter()
-        for t in texts:
-            t = " " + " ".join(t.split()) + " "
-            kinds = [_class(c) for c in t]
-            self.pair.update(zip(t, t[1:]))
-            self.one.update(t[:-1])
-            self.cpair.update(zip(kinds, kinds[1:]))
-            self.cone.update(kinds[:-1])
-            self.inside.update(t[1:])
         self.kinds: Counter = Counter()
-        for c, n in self.inside.items():
-            self.kinds[_class(c)] += n
+        for (ka, kb), count in self.cpair.items():
+            self.cone[ka] += count
+            self.kinds[kb] += count
+
+    def _sums(self, of: np.ndarray) -> Counter:
+        found, where = np.unique(of, return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, where, self.counts)
+        return Counter(dict(zip(map(chr, found.tolist()), sums.tolist())))
+
+    def _pair(self, a: str, b: str) -> int:
+        key = ord(a) << 21 | ord(b)
+        k = int(self.pairs.searchsorted(key))
+        return int(self.counts[k]) if k < len(self.pairs) and self.pairs[k] == key else 0
 
     @functools.lru_cache(maxsize=1 << 16)  # noqa: B019 - one model a process
     def step(self, a: str, b: str) -> float:
@@ -212,7 +222,7 @@ class Cost:
         in_class = (self.inside[b] + 0.3) / (self.kinds[kb] + 0.3 * _SIZE.get(kb, 30))
         back = to_class * in_class
         n = self.one[a]
-        return -math.log((self.pair[a, b] + 4 * back) / (n + 4))
+        return -math.log((self._pair(a, b) + 4 * back) / (n + 4))
 
     def __call__(self, word: str) -> float:
         total, before = 0.0, " "
@@ -270,21 +280,29 @@ def repair(text: str, cost: Cost) -> tuple[str, bool, int]:
     return text, lost or layers > 0, layers
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of characters of each batch, each text between spaces and its white space as single ones."""
+    for batch in batches:
+        for _, block in tb.blocks(batch, "text"):
+            texts = [f" {' '.join(t.split())} " for t in block]
+            codes = tb.codes("".join(texts)).astype(np.int64)
+            inner = np.ones(len(codes), bool)
+            inner[np.cumsum([len(t) for t in texts]) - 1] = False
+            pairs, counts = np.unique((codes[:-1] << 21 | codes[1:])[inner[:-1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], names=["pair", "n"])
+
+
 def train(samples: DataFrame, text: str = "text") -> Cost:
-    """The cost model of a bounded sample of clean text."""
-    got, size = [], 0
-    for row in samples.select(text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text).toLocalIterator():
-        got.append(row[0])
-        size += len(row[0])
-        if size >= TRAIN_CHARS:
-            break
-    return Cost(got)
+    """The cost model of all clean text.  Spark counts; what reaches the driver are the different pairs of characters, 16 bytes
+    each, however much text there is."""
+    rows = samples.select(F.col(text).alias("text")).where("text is not null")
+    got = rows.mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return Cost(got["pair"].to_numpy(), got["n"].to_numpy())
 
 
 def repaired(df: DataFrame, text: str, samples: DataFrame, prefix: str = "") -> DataFrame:
     """`df` with ``restored`` string, ``garbled`` boolean and ``layers`` int (names after `prefix`)."""
-    cost_of = train(samples)
-    tables = (cost_of.pair, cost_of.one, cost_of.cpair, cost_of.cone, cost_of.inside, cost_of.kinds)
+    held = df.sparkSession.sparkContext.broadcast(train(samples))
     names = [f"{prefix}restored", f"{prefix}garbled", f"{prefix}layers"]
     clash = set(names) & set(df.columns)
     if clash:
@@ -292,8 +310,7 @@ def repaired(df: DataFrame, text: str, samples: DataFrame, prefix: str = "") ->
     schema = df.select("*", F.lit(None).cast("string").alias(names[0]), F.lit(None).cast("boolean").alias(names[1]), F.lit(None).cast("int").alias(names[2])).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = Cost([])
-        cost.pair, cost.one, cost.cpair, cost.cone, cost.inside, cost.kinds = tables
+        cost = held.value
         for batch in batches:
             at = batch.schema.get_field_index(text)
             rows = []

@@ -373,6 +373,22 @@ def test_round_trips(samples, cost):
     assert found / tried > 0.97 and restored / tried > 0.85
 
 
+def test_all_clean_text_is_counted(spark):
+    """The counts are those of all texts: here of 600,000 characters, with empty and blank ones among them."""
+    rng = random.Random(3)
+    texts = ["", " \n ", "Ära 가나 日本"] + ["".join(rng.choices("abcdé 가나日\n", k=10_000)) for _ in range(60)]
+    got = mojibake.train(spark.createDataFrame([(t,) for t in [None, *texts]], "text string"))
+    plain = [f" {' '.join(t.split())} " for t in texts]
+    pairs = collections.Counter(p for t in plain for p in zip(t, t[1:]))
+    assert {p: got._pair(*p) for p in pairs} == pairs and got.counts.sum() == pairs.total()
+    assert got.one == collections.Counter(c for t in plain for c in t[:-1]) and got.inside == collections.Counter(c for t in plain for c in t[1:])
+    kinds = [[mojibake._class(c) for c in t] for t in plain]
+    assert got.cpair == collections.Counter(p for k in kinds for p in zip(k, k[1:])) and got.cone == collections.Counter(c for k in kinds for c in k[:-1])
+    assert got.kinds == collections.Counter(c for k in kinds for c in k[1:])
+    empty = mojibake.train(spark.createDataFrame([], "text string"))
+    assert mojibake.repair("été".encode().decode("cp1252"), empty)[1] in (True, False)
+
+
 def test_what_is_not_garbled(cost):
     for t in ("A TABELA Â da secção", "LE BILAN PAR ÂGE", "A REVISÃO DE ÂMBITO", "ѕessiоn оf thе bоаrd", "«visto bueno» · ¿qué?", "50 ° ± 3 µm", "日本語と한국어", "naïve café", ""):
         assert mojibake.repair(t, cost) == (t, False, 0), t
